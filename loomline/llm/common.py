@@ -1,21 +1,31 @@
-"""What the training-data operators share: Arrow mapping, word hashing, hot-key joins."""
+"""What the training-data operators share: Arrow mapping, word hashing, hot-key joins.
+
+Words ``[^\\x20\\x09-\\x0D]+`` of a text are what bytes.split() without arguments gives, and
+bytes.lower() lower-cases exactly A-Z.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bytes that end a word under ``[^\x20\x09-\x0D]+``: exactly what bytes.split() without arguments splits at.
+HOME = str(Path(__file__).resolve().parents[2])
 BATCH_BYTES = 32 << 20
 BATCH_ROWS = 2000
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches small enough for very long texts."""
+    env = df.sparkSession.sparkContext.environment  # workers must find this package, wherever the driver was started
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import quality
+from loomline.llm import neardup, quality
 
-QUERIES = {"op1_quality": quality.op1_quality}
-ORACLES = {"op1_quality": quality.OP1_SQL}
+QUERIES = {"op1_quality": quality.op1_quality, "op4_near_duplicates": neardup.op4_near_duplicates}
+ORACLES = {"op1_quality": quality.OP1_SQL, "op4_near_duplicates": neardup.OP4_SQL}
