@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from loomline.llm import neardup, quality
+from loomline.llm import decontam, neardup, packing, quality, tokenstore
 
-QUERIES = {"op1_quality": quality.op1_quality, "op4_near_duplicates": neardup.op4_near_duplicates}
-ORACLES = {"op1_quality": quality.OP1_SQL, "op4_near_duplicates": neardup.OP4_SQL}
+QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_packing": packing.op3_packing,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op7_decontamination": decontam.op7_decontamination,
+    "op8_token_shards": tokenstore.op8_token_shards,
+}
+ORACLES = {"op1_quality": quality.OP1_SQL, "op4_near_duplicates": neardup.OP4_SQL, "op7_decontamination": decontam.OP7_SQL}
