@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomline.llm import decontam, neardup, packing, quality, tokenstore
+from loomline.llm import decontam, neardup, packing, quality, tokenstore, urls, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_url_filter": urls.op2_url_filter,
     "op3_packing": packing.op3_packing,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_token_shards": tokenstore.op8_token_shards,
+    "op9_warc": warc.op9_warc,
 }
-ORACLES = {"op1_quality": quality.OP1_SQL, "op4_near_duplicates": neardup.OP4_SQL, "op7_decontamination": decontam.OP7_SQL}
+ORACLES = {"op1_quality": quality.OP1_SQL, "op4_near_duplicates": neardup.OP4_SQL, "op7_decontamination": decontam.OP7_SQL, "op9_warc": warc.OP9_SQL}
