@@ -28,7 +28,7 @@ THRESHOLD = 0.7
 # Insults and second-person pronouns.
 INSULTS = (
     "idiot idiots moron morons stupid loser losers pathetic worthless disgusting trash scum clown clowns dumb fool fools ugly filth vermin garbage "
-    "imbecile retard freak creep pig pigs scumbag bastard bitch asshole shit fuck fucking hate kill die"
+    "imbecile retard freak creep pig pigs scumbag bastard bitch asshole shit fuck fucking"
 ).split()
 PRONOUNS = "you your yours yourself u ur du dich dir dein deine sie ihr euch tu te toi ton ta tes vous votre vos usted ustedes vosotros tus".split()
 
@@ -38,9 +38,9 @@ _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 _PLAIN = bytes.maketrans(b"@$0134578", b"asoieastb")
 _HIDDEN = re.compile(rb"[a-z][@$*0-9]+[a-z]")
 _STRETCHED = re.compile(rb"([a-z])\1\1")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 FEATURES = (
-    "insult_density", "insult_count", "learned_density", "learned_count", "stem_density", "stem_count", "stem_weight", "near_second_person", "pronoun_density",
+    "insult_density", "insult_count", "learned_density", "learned_count", "learned_weight", "learned_most", "stem_density", "stem_count", "stem_weight", "near_second_person", "pronoun_density",
     "capital_ratio", "shout_ratio", "exclamation_ratio", "punctuation_ratio", "hidden_density", "stretched_density", "log_words",
 )
 
@@ -55,7 +55,9 @@ def stems_of(word: bytes) -> list[bytes]:
 
 @dataclass
 class Lexicon:
-    words: frozenset = frozenset()
+    """Weights (log-odds against the base rate) of words and of word beginnings."""
+
+    words: dict = field(default_factory=dict)
     stems: dict = field(default_factory=dict)
 
 
@@ -74,17 +76,19 @@ class Extractor:
             return [0.0] * len(FEATURES)
         kinds = list(map(self.seen.__getitem__, words))
         marked = [(i, k) for i, k in enumerate(kinds) if k]
-        insults = learned = stems = weight = hidden = stretched = pronouns = 0.0
+        insults = learned = learned_sum = learned_most = stems = weight = hidden = stretched = pronouns = 0.0
         bad, you = [], []
         for i, (is_insult, is_learned, stem, is_you, is_hidden, is_stretched) in marked:
             insults += is_insult
-            learned += is_learned
+            learned += is_learned > 0
+            learned_sum += is_learned
+            learned_most = max(learned_most, is_learned)
             stems += stem > 0
             weight = max(weight, stem)
             hidden += is_hidden
             stretched += is_stretched
             pronouns += is_you
-            if is_insult or is_learned or stem > 0:
+            if is_insult or is_learned > 0 or stem > 0:
                 bad.append(i)
             if is_you:
                 you.append(i)
@@ -97,7 +101,7 @@ class Extractor:
         marks = codes[33:48].sum() + codes[58:65].sum() + codes[91:97].sum() + codes[123:127].sum()
         capitals = codes[65:91].sum() / max(1, letters)
         return [
-            insults / n, min(insults, 50.0), learned / n, min(learned, 50.0), stems / n, min(stems, 50.0), weight, near / n, pronouns / n,
+            insults / n, min(insults, 50.0), learned / n, min(learned, 50.0), min(learned_sum, 100.0), learned_most, stems / n, min(stems, 50.0), weight, near / n, pronouns / n,
             float(capitals), float(capitals > 0.6), float(codes[33] / n), float(marks / max(1, len(raw))), hidden / n, stretched / n, float(np.log1p(n)),
         ]
 
@@ -115,7 +119,7 @@ class _Kinds(dict):
         hidden = bool(_HIDDEN.search(word))
         plain = word.translate(_PLAIN) if hidden else word
         stem = max((self.lexicon.stems.get(s, 0.0) for s in stems_of(plain)), default=0.0)
-        kind = (plain in _INSULTS, plain in self.lexicon.words, stem, word in _PRONOUNS, hidden, bool(_STRETCHED.search(word)))
+        kind = (plain in _INSULTS, self.lexicon.words.get(plain, 0.0), stem, word in _PRONOUNS, hidden, bool(_STRETCHED.search(word)))
         self[word] = kind = kind if any(kind) else None
         return kind
 
@@ -284,10 +288,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("part", "toxic", "text")
 
     counted = map_arrow(texts.where("part < 5").select("toxic", "text"), _counts, "term binary, toxic long, clean long")
-    counted = counted.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3 and t >= 12 * c").orderBy(F.desc("t"), "term").limit(lexicon_size)
+    counted = counted.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3 and t >= 2 * c").orderBy(F.desc(F.expr("t - 2 * c")), "term").limit(lexicon_size)
     terms = [(bytes(r["term"]), r["t"], r["c"]) for r in counted.collect()]
-    words = frozenset(t[1:] for t, _, _ in terms if t.startswith(b"="))
-    stems = {t: float(np.log((n + 0.5) / (c + 0.5))) for t, n, c in terms if not t.startswith(b"=")}
+    kinds = chosen.where("part < 5").groupBy("toxic").count().collect()
+    size = {r["toxic"]: r["count"] for r in kinds}
+    base = np.log((size.get(1, 0) + 1) / (size.get(0, 0) + 1))
+    weight = {t: max(0.1, float(np.log((n + 0.2) / (c + 0.2)) - base)) for t, n, c in terms}
+    words = {t[1:]: w for t, w in weight.items() if t.startswith(b"=")}
+    stems = {t: w for t, w in weight.items() if not t.startswith(b"=")}
     lexicon = Lexicon(words, stems)
 
     shared = spark.sparkContext.broadcast(lexicon)
