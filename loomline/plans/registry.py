@@ -25,3 +25,10 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load_all() -> None:
+    """Import the modules that register queries."""
+    from loomline.plans import intake  # noqa: F401
+
+
