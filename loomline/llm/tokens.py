@@ -1,10 +1,11 @@
 """Token ids of whole texts by the tokenizers library, with each distinct stretch encoded once.
 
-Byte-level BPE splits a text before it merges, and never across the start of a run of
-blanks. So a text is cut there, and a stretch (blanks plus what follows) that was seen
-before is taken from a bounded cache. A text whose white space is more than spaces and
-newlines, or a stretch with characters outside the plain classes below, goes to the library's
-``encode`` as it is; plain stretches go to the library's BPE model directly, after the same split.
+Byte-level BPE splits a text before it merges, and a single space always starts a new part. So a
+text is cut at its spaces, and a stretch (a space and what follows) that was seen before is taken
+from a bounded cache. New stretches of letters and end marks go to the library's BPE model directly,
+after the split the library would make; all others go to the library's ``encode``. So do, whole,
+texts with white space that the cut doesn't hold for: other than spaces and newlines, two spaces in
+a row, a space between newlines or at either end.
 """
 
 from __future__ import annotations
@@ -13,13 +14,9 @@ import re
 
 import numpy as np
 
-#: White space other than space and newline (a superset of what the pre-tokenizer knows): such texts are encoded whole.
-_ODD_SPACE = re.compile(r"[^\S \n]")
-_STRETCHES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-#: Plain stretches: ASCII without the apostrophe, and Latin-1 letters. Elsewhere the split has more rules.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"\n?( ?)[!-&(-~{_LETTER}]+").fullmatch
-_SPLIT = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[!-&(-/:-@\[-`{{-~×÷]+|\n").findall
+_ODD_SPACE = re.compile(r"[^\S \n]")  # a superset of the white space that the pre-tokenizer knows
+_PLAIN = re.compile(r" ?[!-&(-~]+").fullmatch  # ASCII without the apostrophe, whose contractions have rules of their own
+_SPLIT = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+").findall
 
 
 def _byte_letters() -> dict[int, int]:
@@ -32,44 +29,64 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
-class Encoder(dict):
-    """stretch -> its ids as little-endian unsigned 32-bit bytes."""
+class _Recent(dict):
+    """A cache that keeps at least its last ``most`` entries, and at most twice as many."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Encoder:
+    """Ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.most = most
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.library.model
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Recent(self._part, most)  # what the split leaves whole
+        self.stretches = _Recent(lambda s: self._stretch(" " + s), most)  # keys lack their leading space
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            letters = part.encode().decode("latin1").translate(_LETTERS)
-            found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
-            self.parts[part] = found
-        return found
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if len(self.parts) >= self.most:
-            self.parts.clear()
-        ids = b"".join(map(self._part, _SPLIT(stretch))) if _PLAIN(stretch) else self.whole(stretch)
-        self[stretch] = ids
-        return ids
+        letters = part.encode().decode("latin1").translate(_LETTERS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+
+    def _stretch(self, s: str) -> bytes:
+        core = s[1:] if s[:1] == " " else s
+        if core.isalpha():  # letters of any script are one part
+            return self.parts[s]
+        if core[-1:] in (".", ",") and core[:-1].isalpha():
+            return self.parts[s[:-1]] + self.parts[core[-1]]
+        if _PLAIN(s):
+            return b"".join(map(self.parts.__getitem__, _SPLIT(s)))
+        lines = s.split("\n")
+        if len(lines) > 1 and all(lines) and lines[0] != " ":  # single newlines between words
+            return self.parts["\n"].join([self._stretch(x) for x in lines])
+        return self.whole(s)
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, 4 bytes each."""
-        if _ODD_SPACE.search(text):
+        if not text:
+            return b""
+        if text[0] == " " or text[-1] == " " or "  " in text or "\n \n" in text or _ODD_SPACE.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _STRETCHES(text)))
+        first, *rest = text.split(" ")
+        return self._stretch(first) + b"".join(map(self.stretches.__getitem__, rest))
 
 
 _kept: dict[str, Encoder] = {}

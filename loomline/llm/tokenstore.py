@@ -2,12 +2,12 @@
 
 File layout, all numbers little-endian or LEB128 varints:
 
-* blocks of up to ``block_bytes``: entries in key order, each ``shared, unshared, n_ids``
-  (varints), the unshared key bytes and 4 * n_ids bytes of ids. A key is the doc_id as a big-endian
-  64-bit number with its sign bit flipped, so byte order is number order; ``shared`` bytes are
-  taken from the key before. The first key of a block is written whole.
-* sparse index: per block its first key (8 bytes), offset and size (u64 each), then the
-  entries and ids before it in the shard (u64 each).
+* blocks of about ``block_bytes``, each Zstandard-compressed: entries in key order, each
+  ``shared, unshared, n_ids`` (varints), the unshared key bytes and the ids, 2 bytes each if the
+  vocabulary fits, else 4. A key is the doc_id as a big-endian 64-bit number with its sign bit
+  flipped, so byte order is number order; ``shared`` bytes are taken from the key before. The first
+  key of a block is written whole.
+* sparse index: per block its first key (8 bytes), offset, stored size and plain size (u64 each).
 * Bloom filter over the keys: 10 bits a key, 7 probes of one 128-bit hash.
 * footer: offsets and sizes of index and filter, counts, first and last key, a magic number.
 
@@ -32,9 +32,9 @@ from loomline.llm.common import map_arrow
 from loomline.llm.tokens import default_path, encoder
 from loomline.session import materialise, scratch_path
 
-MAGIC = b"LLSST001"
-FOOTER = struct.Struct("<QQQQQQ8s8s8s")
-INDEX = struct.Struct("<8sQQQQ")
+MAGIC = b"LLSST002"
+FOOTER = struct.Struct("<QQQQQQQ8s8s8s")
+INDEX = struct.Struct("<8sQQQ")
 BITS, PROBES = 10, 7
 
 
@@ -72,14 +72,15 @@ def _probes(key: bytes, bits: int) -> list[int]:
 
 
 class ShardWriter:
-    def __init__(self, path: str, block_bytes: int = 64 << 10):
+    def __init__(self, path: str, block_bytes: int = 256 << 10, width: int = 4):
         self.fs, self.path = pafs.FileSystem.from_uri(path)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.{xxhash.xxh3_64_hexdigest(f'{path}{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}')}.tmp"
         self.out = self.fs.open_output_stream(self.part)
         self.block_bytes, self.block, self.index, self.keys = block_bytes, bytearray(), [], []
+        self.codec, self.width = pa.Codec("zstd", compression_level=1), width
         self.before = self.first = b""
-        self.at = self.n = self.ids = self.block_n = self.block_ids = 0
+        self.at = self.n = self.ids = 0
 
     def add(self, doc_id: int, raw: bytes) -> None:
         key = key_bytes(doc_id)
@@ -88,18 +89,20 @@ class ShardWriter:
         if len(self.block) >= self.block_bytes:
             self._end_block()
         if not self.block:
-            self.first, self.before, self.block_n, self.block_ids = key, b"", self.n, self.ids
+            self.first, self.before = key, b""
         shared = 0
         while shared < len(self.before) and self.before[shared] == key[shared]:
             shared += 1
-        self.block += _varint(shared) + _varint(8 - shared) + _varint(len(raw) // 4) + key[shared:] + raw
+        self.block += _varint(shared) + _varint(8 - shared) + _varint(len(raw) // 4) + key[shared:]
+        self.block += raw if self.width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()
         self.keys.append(key)
         self.before, self.n, self.ids = key, self.n + 1, self.ids + len(raw) // 4
 
     def _end_block(self) -> None:
-        self.out.write(bytes(self.block))
-        self.index.append(INDEX.pack(self.first, self.at, len(self.block), self.block_n, self.block_ids))
-        self.at += len(self.block)
+        stored = self.codec.compress(bytes(self.block), asbytes=True)
+        self.out.write(stored)
+        self.index.append(INDEX.pack(self.first, self.at, len(stored), len(self.block)))
+        self.at += len(stored)
         self.block = bytearray()
 
     def close(self) -> None:
@@ -111,7 +114,7 @@ class ShardWriter:
             for p in _probes(key, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         edge = (self.keys[0], self.keys[-1]) if self.keys else (b"\0" * 8,) * 2
-        self.out.write(index + bloom.tobytes() + FOOTER.pack(self.at, len(index), len(bloom), bits, self.n, self.ids, *edge, MAGIC))
+        self.out.write(index + bloom.tobytes() + FOOTER.pack(self.at, len(index), len(bloom), bits, self.n, self.ids, self.width, *edge, MAGIC))
         self.out.close()
         self.fs.move(self.part, self.path)
 
@@ -124,22 +127,24 @@ class Shard:
         self.file = fs.open_input_file(at)
         size = self.file.size()
         foot = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
-        start, self.index_size, self.bloom_size, self.bits, self.n, self.ids, self.low, self.high, magic = foot
+        start, self.index_size, self.bloom_size, self.bits, self.n, self.ids, self.width, self.low, self.high, magic = foot
         if magic != MAGIC or size != start + self.index_size + self.bloom_size + FOOTER.size:
             raise ValueError(f"{path} is not a whole shard")
         self.index = [INDEX.unpack(x) for x in _chunks(self.file.read_at(self.index_size, start), INDEX.size)]
         self.bloom = self.file.read_at(self.bloom_size, start + self.index_size)
 
     def _entries(self, block: tuple) -> Iterator[tuple[int, bytes]]:
-        raw, at, key = self.file.read_at(block[2], block[1]), 0, b""
+        raw = pa.Codec("zstd").decompress(self.file.read_at(block[2], block[1]), block[3], asbytes=True)
+        at, key = 0, b""
         while at < len(raw):
             shared, at = _read_varint(raw, at)
             own, at = _read_varint(raw, at)
             n, at = _read_varint(raw, at)
             key = key[:shared] + raw[at : at + own]
             at += own
-            yield key_number(key), raw[at : at + 4 * n]
-            at += 4 * n
+            ids = raw[at : at + self.width * n]
+            yield key_number(key), ids if self.width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+            at += self.width * n
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         for block in self.index:
@@ -170,7 +175,7 @@ def _written(batches: Iterable[pa.RecordBatch], folder: str, path: str, end_id:
     writer = None
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-            writer = writer or ShardWriter(f"{folder}/shard-{part:06d}.sst")
+            writer = writer or ShardWriter(f"{folder}/shard-{part:06d}.sst", width=2 if max(ids.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
             writer.add(doc_id, ids.encode(text.as_py()) + end)
     if writer:
         writer.close()
