@@ -98,9 +98,16 @@ def alpha_words(c: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Adjacent n-grams of an array of words, joined by spaces."""
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """Adjacent n-grams of an array of words, joined by spaces.
+
+    The array is bound as the variable of a one-element transform: a lambda would else split the text again for each gram.
+    """
+
+    def of(w: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return F.flatten(F.transform(F.array(words), of))
 
 
 def part_of_speech(w: Column) -> Column:
@@ -131,10 +138,11 @@ def phrase_regex(phrase: str) -> str:
     return out
 
 
-def word_bounded(text: Column, word: str) -> Column:
+def word_bounded(text: Column, word: str | Column) -> Column:
     """The first occurrence of ``word`` stands alone (no letter or digit next to it)."""
+    word = F.lit(word) if isinstance(word, str) else word
     at = F.instr(text, word)
-    before, after = F.substring(text, at - 1, F.lit(1)), F.substring(text, at + len(word), F.lit(1))
+    before, after = F.substring(text, at - 1, F.lit(1)), F.substring(text, at + F.length(word), F.lit(1))
     alone = lambda c: ~c.rlike(r"^[\p{L}\p{N}]$")
     return (at > 0) & ((at == 1) | alone(before)) & alone(after)
 
