@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Python workers find this package wherever the driver was started."""
+    home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
