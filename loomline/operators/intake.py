@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomline.functions import text as T
+from loomline.operators.joins import join_hot
+from loomline.session import materialise
 
 
 def intake(docs: DataFrame, min_chars: int = 10, max_chars: int = 100_000, languages: tuple[str, ...] = (), id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """Adds clean_text, content_hash, is_duplicate and reason (null if the row stays); the first reason wins.
 
-    The one shuffle is the first-seen window on the content hash. It carries only id and hash;
-    a hash with very many copies is first reduced to its least id by a partial aggregate.
+    First seen is the least id of a content hash. Copied hashes and their least ids come from a partial
+    aggregate and are written once; hashes with very many copies are then joined by broadcast (join_hot).
     """
     rows = docs.withColumn("clean_text", T.clean(F.col("text"))).withColumn("content_hash", T.content_hash(F.col("clean_text")))
-    rows = rows.withColumn("is_duplicate", F.col(id_col) > F.min(id_col).over(Window.partitionBy("content_hash")))
+    copied = rows.groupBy("content_hash").agg(F.min(id_col).alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
+    rows = join_hot(rows, materialise(copied, "intake-copies"), "content_hash", "_copies")
+    rows = rows.withColumn("is_duplicate", F.coalesce(F.col(id_col) > F.col("_first"), F.lit(False))).drop("_first")
     unsupported = ~F.coalesce(F.col(lang_col).isin(list(languages)), F.lit(False)) if languages else F.lit(False)
     reason = (
         F.when(F.col("clean_text").isNull(), "clean_error")
@@ -34,9 +38,8 @@ def split_rejected(marked: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first row of each key: an aggregate, combined before the shuffle, so a hot key is no hot task."""
+    return df.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")).select("_row.*")
 
 
 def validate(raw: DataFrame, now=None) -> DataFrame:

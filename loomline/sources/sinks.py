@@ -6,9 +6,7 @@ import html
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from loomline.session import scratch_path  # noqa: F401
+from pyspark.sql import DataFrame, functions as F
 
 
 def write_documents(df: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet", "csv")) -> dict[str, str]:
@@ -63,9 +61,8 @@ def append_asset(df: DataFrame, folder: str, name: str) -> None:
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """What an upsert leaves: the last row of each key."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """What an upsert leaves: the last row of each key, by an aggregate that is combined before the shuffle."""
+    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def write_snapshot(df: DataFrame, folder: str, asset: str, snapshot_id: str) -> None:
