@@ -1,4 +1,4 @@
-"""What the training-data operators share: Arrow mapping, word hashing, hot-key joins.
+"""What the training-data operators share: Arrow mapping and word hashing.
 
 Words ``[^\\x20\\x09-\\x0D]+`` of a text are what bytes.split() without arguments gives, and
 bytes.lower() lower-cases exactly A-Z.
@@ -73,24 +73,3 @@ def shingle_set(words: list[bytes], hashes: WordHashes, k: int = 5) -> np.ndarra
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + m])
     return np.unique(h)
 
-
-def join_hot(rows: DataFrame, small: DataFrame, key: str, weight: str, how: str = "left", share: float = 1e-3) -> DataFrame:
-    """Join many ``rows`` to one ``small`` row per key where single keys may hold most rows.
-
-    ``small`` has ``key``, ``weight`` (how many rows carry the key) and value columns, and
-    must be cheap to read twice. Keys that hold over ``share`` of all weight are at most
-    1/share keys, whatever the input: that bounded part is broadcast. The rest is joined
-    by a shuffle in which no key is larger than ``share``.
-    """
-    total = small.agg(F.sum(weight)).first()[0] or 0
-    cut = max(1000, int(total * share))
-    values = [c for c in small.columns if c not in (key, weight)]
-    hot = small.where(F.col(weight) > cut).select(key, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
-    cold = small.where(F.col(weight) <= cut).select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in values])
-    wide = rows.join(F.broadcast(hot), key, "left")
-    # Rows of hot keys take a key of their own in the shuffle, so they spread over all partitions.
-    spread = F.when(F.col("_hot"), F.lit(None)).otherwise(F.col(key))
-    is_hot = wide.where(F.col("_hot")).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in values])
-    rest = wide.where(F.col("_hot").isNull()).withColumn("_k", spread).join(cold, F.col("_k") == F.col("_cold_key"), how)
-    rest = rest.select(*rows.columns, *[F.col(f"_cold_{c}").alias(c) for c in values])
-    return is_hot.unionByName(rest)

@@ -9,11 +9,12 @@ between two sketches concentrates around their Jaccard similarity. Bands of the
 give candidates, and only pairs whose full sets reach the threshold become links.
 
 Links between classes of one bucket are decided in two rounds, without all pairs of a
-bucket. Round one compares each class with the least class it shares a bucket with. Round
-two looks only at buckets whose classes are still in several components, and there
-compares classes outside the bucket's largest component with classes of other components;
-pairs inside one component can't change the result. Together the rounds decide every
-candidate pair that matters, so components equal those of all links.
+bucket. Round one compares each class with the most central class it shares a bucket with.
+Round two looks only at buckets whose classes are still in several components, and there
+compares classes outside the bucket's largest component with classes of other components,
+as far as an exact prefix filter lets them be linked; pairs inside one component can't
+change the result. Together the rounds decide every candidate pair that matters, so
+components equal those of all links.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from loomline.llm.common import WordHashes, join_hot, map_arrow, mix64, shingle_set, text_bytes
+from loomline.llm.common import WordHashes, map_arrow, mix64, shingle_set, text_bytes
 from loomline.operators.components import connected_components
+from loomline.operators.joins import join_hot
 from loomline.session import materialise
 
 BANDS, ROWS = 24, 4
@@ -100,6 +102,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * threshold).select("a", "b")
 
 
+def _undecided_pairs(classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (key, n, component, outside) that may be linked and lie in different components.
+
+    Prefix filter: with shingles in one order, rare ones first, a pair's first common shingle stands so early in
+    both sets that enough of either is left after it. Shingles that only the edits of a copy have come first,
+    so an outsider of a large group of near copies meets few others. Nothing that can be linked is lost.
+    """
+    shingles = sets.join(classes, "key").select("key", "n", "component", "outside", F.explode("set").alias("s"))
+    often = materialise(shingles.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "nd-often")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("key"))  # shingles of one class come first and have no partner
+    place = F.row_number().over(Window.partitionBy("key").orderBy("df", "s")) - 1
+    early = shingles.join(often.hint("merge"), "s").withColumn("place", alone + place)
+    early = materialise(early.where((F.col("n") - F.col("place")) * 100 >= F.col("n") * threshold), "nd-early")
+    x, y = early.where("outside").alias("x"), early.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    near = left * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold
+    once = ~F.col("y.outside") | (F.col("x.key") < F.col("y.key"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & once & near)
+    return pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, key (class of equal sets) and copies (documents in the class).
 
@@ -118,15 +141,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, ban
         "nd-classes",
     )
     placed = classes.select(F.explode("bands").alias("bucket"), "key", "n")
-    buckets = materialise(placed.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("bucket", "pivot"), "nd-buckets")
-    placed = materialise(placed.join(buckets.hint("merge"), "bucket"), "nd-placed")
+    buckets = materialise(placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "nd-buckets")
+    shared = materialise(placed.join(buckets.hint("merge"), "bucket").select("bucket", "key", "n"), "nd-shared")
 
     # The full sets of classes that share a bucket, from one text of each class.
-    involved = placed.select("key").distinct().join(classes.select("key", "least_doc"), "key").select(F.col("least_doc").alias("doc_id")).distinct()
+    involved = shared.select("key").distinct().join(classes.select("key", "least_doc"), "key").select(F.col("least_doc").alias("doc_id")).distinct()
     texts = src.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
     sets = materialise(map_arrow(texts, lambda b: _sets(b, k), "key binary, set array<long>").dropDuplicates(["key"]), "nd-sets")
 
-    stars = placed.where("key > pivot").groupBy(F.col("key").alias("a")).agg(F.min("pivot").alias("b"))
+    # A shingle that occurs in one class only is in no intersection: a class with too many of them has no link.
+    alone = sets.select("key", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1")
+    alone = alone.groupBy("key").agg(F.count("*").alias("alone"))
+    common = sets.select("key", F.size("set").alias("n")).join(alone, "key", "left").select("key", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"), "n")
+    live = materialise(common.where(F.col("common") * 100 >= F.col("n") * threshold).select("key"), "nd-live")
+    placed = shared.join(live, "key").select("bucket", "key", "n")
+    buckets = materialise(placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "nd-live-buckets")
+    placed = materialise(placed.join(buckets.hint("merge"), "bucket"), "nd-live-shared")
+    # A class that shares much with many lies in large buckets: the most central class of a bucket is its pivot.
+    central = placed.groupBy("key").agg(F.sum("c").alias("weight"))
+    placed = materialise(placed.join(central, "key").select("bucket", "key", "n", "weight"), "nd-placed")
+    pivots = materialise(placed.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("pivot")), "nd-pivots")
+
+    met = placed.select("bucket", "key").join(pivots.hint("merge"), "bucket").where(F.col("key") != F.col("pivot.key"))
+    stars = met.groupBy("key").agg(F.max("pivot").alias("p"))
+    stars = materialise(stars.select(F.greatest("key", "p.key").alias("a"), F.least("key", "p.key").alias("b")).distinct(), "nd-stars")
     links = materialise(_verified(stars, sets, threshold), "nd-links")
     comp = connected_components(links, "a", "b")
 
@@ -134,15 +172,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, ban
     inside = materialise(inside.select("bucket", "key", "n", F.coalesce("component", "key").alias("component")), "nd-inside")
     parts = inside.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     open_buckets = materialise(parts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("m.component").alias("largest")), "nd-open")
-    undecided = materialise(inside.join(open_buckets.hint("merge"), "bucket"), "nd-undecided")
-    x, y = undecided.alias("x"), undecided.alias("y")
-    small = F.col("x.component") != F.col("x.largest")
-    other = F.col("x.component") != F.col("y.component")
-    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.key") < F.col("y.key"))
-    near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold  # the sizes alone allow it
-    more = x.where(small).join(y, (F.col("x.bucket") == F.col("y.bucket")) & other & once & near)
-    more = more.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
-    more = more.join(stars, ["a", "b"], "left_anti")
+    undecided = inside.join(open_buckets.hint("merge"), "bucket").groupBy("key", "n", "component").agg(F.max(F.col("component") != F.col("largest")).alias("outside"))
+    more = _undecided_pairs(materialise(undecided, "nd-undecided"), sets, threshold).join(stars, ["a", "b"], "left_anti")
     late = materialise(_verified(more, sets, threshold), "nd-late")
     if not late.isEmpty():
         comp = connected_components(links.unionByName(late), "a", "b")
