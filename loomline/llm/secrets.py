@@ -14,6 +14,7 @@ step, taken apart for each stratum of lengths, accepts candidates at a false-dis
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -97,7 +98,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
         s, e = m.span()
         while at < len(taken) and taken[at][1] <= s:
             at += 1
-        if any(a < e for a, b in taken[at : at + 8] if b > s):
+        if any(b > s for _, b in itertools.takewhile(lambda x: x[0] < e, itertools.islice(taken, at, None))):
             continue
         body = m.group().rstrip("=")
         if len(body) >= LEAST:
