@@ -199,7 +199,7 @@ def pagerank_4_rounds(spark, d):
 @query("shortest_paths", f"""WITH RECURSIVE {_G}, p AS (SELECT [src, dst] AS path, dst, 1 AS n FROM g WHERE src = 1 UNION ALL SELECT list_append(path, g.dst), g.dst, n + 1 FROM p JOIN g ON g.src = p.dst WHERE n < 3 AND NOT list_contains(path, g.dst)),
 m AS (SELECT min(n) AS n FROM p WHERE dst = 77) SELECT array_to_string(path, '>') AS path FROM p JOIN m USING (n) WHERE dst = 77""")
 def shortest_paths(spark, d):
-    return G.shortest_paths(graph(spark, d), 1, 77).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.shortest_paths(graph(spark, d), 1, 77, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("simple_paths", f"WITH RECURSIVE {_G}, p AS (SELECT [src, dst] AS path, dst, 1 AS n FROM g WHERE src = 1 AND dst <> 1 UNION ALL SELECT list_append(path, g.dst), g.dst, n + 1 FROM p JOIN g ON g.src = p.dst WHERE n < 3 AND p.dst <> 77 AND NOT list_contains(path, g.dst)) SELECT array_to_string(path, '>') AS path FROM p WHERE dst = 77")
