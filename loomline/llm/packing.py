@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from loomline.llm.common import map_arrow
-from loomline.llm.tokens import default_path, encoder
+from loomline.llm.tokens import Encoder, default_path, encoder
 
 CAPACITY = 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -65,7 +65,11 @@ def place(lengths: list[int], capacity: int, last: bool, linear: float = 1.0, qu
 
 
 def _packed(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacity: int, window: int, linear: float, quadratic: float) -> Iterator[pa.RecordBatch]:
-    ids, end = encoder(path), end_id.to_bytes(4, "little")
+    with encoder(path) as ids:
+        yield from _sequences(batches, ids, end_id.to_bytes(4, "little"), capacity, window, linear, quadratic)
+
+
+def _sequences(batches: Iterable[pa.RecordBatch], ids: Encoder, end: bytes, capacity: int, window: int, linear: float, quadratic: float) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 40
     made = 0
     open_: list[tuple[object, int, int, bytes]] = []  # doc_id, its tokens, first token here, ids from there on

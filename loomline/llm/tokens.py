@@ -11,6 +11,8 @@ a row, a space between newlines or at either end.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -59,6 +61,11 @@ class Encoder:
         self.parts = _Recent(self._part, most)  # what the split leaves whole
         self.stretches = _Recent(lambda s: self._stretch(" " + s), most)  # keys lack their leading space
 
+    def forget(self) -> None:
+        for cache in (self.parts, self.stretches):
+            cache.clear()
+            cache.old = {}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -92,11 +99,16 @@ class Encoder:
 _kept: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for a worker process, so that its cache outlives a task."""
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """One encoder for a worker process; a task that ends leaves the library there but no cached stretches,
+    so an idle worker holds no memory that the stages after it need."""
     if path not in _kept:
         _kept[path] = Encoder(path)
-    return _kept[path]
+    try:
+        yield _kept[path]
+    finally:
+        _kept[path].forget()
 
 
 def default_path() -> str:

@@ -171,12 +171,12 @@ def _chunks(raw: bytes, n: int) -> Iterator[bytes]:
 
 
 def _written(batches: Iterable[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    ids, end, part = encoder(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
-    writer = None
-    for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-            writer = writer or ShardWriter(f"{folder}/shard-{part:06d}.sst", width=2 if max(ids.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
-            writer.add(doc_id, ids.encode(text.as_py()) + end)
+    end, part, writer = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), None
+    with encoder(path) as ids:
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                writer = writer or ShardWriter(f"{folder}/shard-{part:06d}.sst", width=2 if max(ids.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
+                writer.add(doc_id, ids.encode(text.as_py()) + end)
     if writer:
         writer.close()
         yield pa.RecordBatch.from_pydict({"shard": [part], "path": [f"{folder}/shard-{part:06d}.sst"], "n_docs": [writer.n], "n_ids": [writer.ids]})
