@@ -37,7 +37,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a packed sequence."""
-    return packing.pack(docs)
+    return packing.pack(docs, keep_cache=False)
 
 
 STAGES = [

@@ -64,8 +64,8 @@ def place(lengths: list[int], capacity: int, last: bool, linear: float = 1.0, qu
     return rows, [(doc, start, -size) for size, doc, start in sorted(pieces)]
 
 
-def _packed(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacity: int, window: int, linear: float, quadratic: float) -> Iterator[pa.RecordBatch]:
-    with encoder(path) as ids:
+def _packed(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacity: int, window: int, linear: float, quadratic: float, keep_cache: bool) -> Iterator[pa.RecordBatch]:
+    with encoder(path, keep_cache) as ids:
         yield from _sequences(batches, ids, end_id.to_bytes(4, "little"), capacity, window, linear, quadratic)
 
 
@@ -110,17 +110,18 @@ def _sequences(batches: Iterable[pa.RecordBatch], ids: Encoder, end: bytes, capa
         yield out(rows)
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = CAPACITY, window: int = 512, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = CAPACITY, window: int = 512, linear: float = 1.0, quadratic: float = 1 / 1024, keep_cache: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``docs`` needs doc_id and text; other columns are not read. A null or empty text is the
     end id alone, so every row of ``docs`` has at least one piece; rows that repeat a doc_id
     are packed each. Memory is bounded by one window of ids and one text. An empty table
-    gives no rows. sequence_id is unique over the result, not consecutive.
+    gives no rows. sequence_id is unique over the result, not consecutive. ``keep_cache``
+    leaves the encoder's cache in the workers: faster, but memory that later stages lack.
     """
     path = path or default_path()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_arrow(src, lambda b: _packed(b, path, end_id, capacity, window, linear, quadratic), SCHEMA)
+    return map_arrow(src, lambda b: _packed(b, path, end_id, capacity, window, linear, quadratic, keep_cache), SCHEMA)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

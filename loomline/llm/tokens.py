@@ -100,15 +100,16 @@ _kept: dict[str, Encoder] = {}
 
 
 @contextmanager
-def encoder(path: str) -> Iterator[Encoder]:
-    """One encoder for a worker process; a task that ends leaves the library there but no cached stretches,
-    so an idle worker holds no memory that the stages after it need."""
+def encoder(path: str, keep: bool = True) -> Iterator[Encoder]:
+    """One encoder for a worker process. Its cache outlives a task if ``keep``; else a task that ends drops
+    the cached stretches, so an idle worker holds no memory that other stages of a longer job need."""
     if path not in _kept:
         _kept[path] = Encoder(path)
     try:
         yield _kept[path]
     finally:
-        _kept[path].forget()
+        if not keep:
+            _kept[path].forget()
 
 
 def default_path() -> str:
