@@ -1,10 +1,10 @@
 """URL filter: rules first, then a ratio of two character language models.
 
 The models are smoothed variable-order Markov models of the URLs that the rules accept and
-reject. A gram (context and symbol, up to ``order`` symbols) is kept when it makes up at least
-``share`` of all counted places, so there are at most ``order / share`` of them however large
-the input is: that table, and only it, is broadcast. A symbol is predicted by the longest kept
-gram that ends there. Each gram carries the increment of its log-likelihood ratio over that of
+reject. A gram (context and symbol, up to ``order`` symbols) is kept when it was counted at least
+``least`` times, however large the input is, so the models grow with it; they are joined by a
+shuffle, and only grams that hold much of all places are broadcast. A symbol is predicted by the
+longest kept gram that ends there. Each gram carries the increment of its log-likelihood ratio over that of
 its longest proper suffix (kept too, as it is at least as frequent), so a URL's score is a plain
 sum over its grams. The score is divided by the URL's length; the threshold is the one that
 separates best the judged URLs of a fold that the models never saw.
@@ -16,12 +16,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomline.operators.joins import join_hot
 from loomline.session import materialise
 
 #: The rules of the contract.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 5
-SHARE = 1e-4
+#: A gram counted this often is kept; it needs no share of all places besides.
+LEAST = 2
+SHARE = 0.0
 #: Symbols besides a-z and 0 (for any digit); every other character counts as ~.
 _MARKS = "./_?=&%#:-"
 ALPHABET = 26 + 1 + len(_MARKS) + 2
@@ -67,7 +70,7 @@ def _grams(rows: DataFrame, order: int, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.explode(F.flatten(F.array(*[of_size(k) for k in range(1, order + 1)]))).alias("gram"))
 
 
-def train(judged: DataFrame, order: int = ORDER, share: float = SHARE, weight: float = 4.0) -> DataFrame:
+def train(judged: DataFrame, order: int = ORDER, least: int = LEAST, weight: float = 4.0) -> DataFrame:
     """(gram, delta): increments of the log-likelihood ratio accepted over rejected.
 
     ``judged`` has ``_s``, ``_n`` (how many rows the url stands for) and ``accept`` (boolean).
@@ -77,25 +80,36 @@ def train(judged: DataFrame, order: int = ORDER, share: float = SHARE, weight: f
     counts = materialise(counts.withColumn("k", F.length("gram")), "url-counts")
     sums = counts.where("k = 1 and gram != '^'").agg(F.sum("a"), F.sum("r")).first()
     total_a, total_r = sums[0] or 0, sums[1] or 0
-    kept = counts.where(F.col("a") + F.col("r") >= max(2.0, share * (total_a + total_r))).repartition(1)
-    kept = materialise(kept, "url-kept")
+    kept = materialise(counts.where(F.col("a") + F.col("r") >= least), "url-kept")
     contexts = kept.select(F.col("gram").alias("context"), F.col("a").alias("ca"), F.col("r").alias("cr"))
     flat = F.lit(1.0 / ALPHABET)
     smooth = lambda n, c, lower: (F.col(n) + weight * lower) / (c + weight)
     level = kept.where("k = 1 and gram != '^'").select("gram", smooth("a", F.lit(total_a), flat).alias("pa"), smooth("r", F.lit(total_r), flat).alias("pr"))
     level = level.withColumn("delta", F.log("pa") - F.log("pr"))
-    levels = level
-    for k in range(2, order + 1):
+    levels = level.select("gram", "delta")
+    for k in range(2, order + 1):  # a suffix or context has at most as many grams as the alphabet has symbols
         lower = level.select(F.col("gram").alias("suffix"), F.col("pa").alias("la"), F.col("pr").alias("lr"))
         level = (
             kept.where(F.col("k") == k)
-            .join(F.broadcast(lower), F.expr("substring(gram, 2)") == F.col("suffix"))
-            .join(F.broadcast(contexts), F.expr(f"substring(gram, 1, {k - 1})") == F.col("context"))
+            .join(lower, F.expr("substring(gram, 2)") == F.col("suffix"))
+            .join(contexts.where(F.length("context") == k - 1), F.expr(f"substring(gram, 1, {k - 1})") == F.col("context"))
             .select("gram", smooth("a", F.col("ca"), F.col("la")).alias("pa"), smooth("r", F.col("cr"), F.col("lr")).alias("pr"), "la", "lr")
         )
         level = level.select("gram", "pa", "pr", (F.log("pa") - F.log("pr") - F.log("la") + F.log("lr")).alias("delta"))
-        levels = levels.unionByName(level)
-    return materialise(levels.select("gram", "delta").coalesce(1), "url-model")
+        level = materialise(level, "url-level")
+        levels = levels.unionByName(level.select("gram", "delta"))
+    return levels
+
+
+def _scores(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """(_s, c, score) for each row of ``texts`` (_s, distinct, and c)."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not left to their size
+    texts = materialise(texts.repartition(parts, "_s").withColumn("_id", F.monotonically_increasing_id()), "url-texts")
+    grams = _grams(texts.repartition(parts, "_id"), order, ["_id"])
+    often = grams.groupBy("gram").agg(F.count("*").alias("weight"))
+    deltas = materialise(often.join(model, "gram", "left").select("gram", "weight", F.coalesce("delta", F.lit(0.0)).alias("delta")), "url-deltas")
+    totals = join_hot(grams, deltas, "gram", "weight", "inner").groupBy("_id").agg(F.sum("delta").alias("total"))
+    return materialise(texts.join(totals, "_id").select("_s", "c", (F.col("total") / (F.length("_s") - 1)).alias("score")), "url-text-scores")
 
 
 def _threshold(scores: DataFrame, width: float = 0.01) -> float:
@@ -114,7 +128,7 @@ def _threshold(scores: DataFrame, width: float = 0.01) -> float:
     return cut
 
 
-def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER, share: float = SHARE, folds: int = 4) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER, least: int = LEAST, folds: int = 4) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log-likelihood ratio a symbol) for each row of ``pages``.
 
     ``pages`` needs page_id and url. A null url, or one without ``://``, has an empty host and
@@ -128,13 +142,14 @@ def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER, share: float =
     rows = rows.select("page_id", "url", "_n", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     fold = F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(folds))
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), symbols(F.col("url")).alias("_s"), fold.alias("fold"))
+    rows = materialise(rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), symbols(F.col("url")).alias("_s"), fold.alias("fold")), "url-rows")
     judged = rows.where("by_rule is not null").withColumn("accept", F.col("by_rule") == "allow")
-    model = train(judged.where("fold != 0").groupBy("_s", "accept").agg(F.sum("_n").alias("_n")), order, share)
+    model = train(judged.where("fold != 0").groupBy("_s", "accept").agg(F.sum("_n").alias("_n")), order, least)
 
-    keys = ["page_id", "url", "_n", "host", "path", "rule", "by_rule", "fold", "_s"]
-    summed = _grams(rows, order, keys).join(F.broadcast(model), "gram", "left").groupBy(keys).agg(F.sum(F.coalesce("delta", F.lit(0.0))).alias("total"))
-    scored = materialise(summed.select(*keys[:-1], (F.col("total") / (F.length("_s") - 1)).alias("score")), "url-scores")
+    # What a URL scores depends on its symbols alone, and URLs that differ in digits share them.
+    scores = _scores(rows.groupBy("_s").agg(F.count("*").alias("c")), model, order)
+    keys = ["page_id", "url", "_n", "host", "path", "rule", "by_rule", "fold"]
+    scored = materialise(join_hot(rows, scores, "_s", "c", "inner").select(*keys, "score"), "url-scores")
     cut = _threshold(scored.where("by_rule is not null and fold = 0").withColumn("accept", F.col("by_rule") == "allow"))
     by_model = F.when(F.col("score") >= cut, "allow").otherwise("block")
     out = scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score", "_n")
