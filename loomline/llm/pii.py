@@ -201,18 +201,29 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, prior:
     return post, theta
 
 
-def train(patterns: np.ndarray, counts: np.ndarray, post: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic weights from patterns with soft labels, by Newton steps; counts beyond 1000 weigh as 1000."""
-    x, w = _design(patterns), np.zeros(_design(patterns[:1]).shape[1])
-    c = np.minimum(counts, 1000.0)
+def train(patterns: np.ndarray, counts: np.ndarray, post: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> np.ndarray:
+    """Logistic weights from patterns with soft labels, each weighing as often as it was counted.
+
+    Newton steps, halved while they don't lower the loss, so that large counts converge too.
+    """
+    x, c, total = _design(patterns), counts, counts.sum()
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((c * (np.logaddexp(0, z) - post * z)).sum() + ridge * (w @ w) / 2) / total
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (c * (p - post)) + ridge * w
         h = (x * (c * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
+        step = np.linalg.solve(h / total, g / total)
+        while np.abs(step).max() >= 1e-8 and loss(w - step) > now:
+            step /= 2
         if np.abs(step).max() < 1e-8:
             break
+        w, now = w - step, loss(w - step)
     return w
 
 
