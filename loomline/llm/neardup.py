@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomline.llm.common import WordHashes, map_arrow, mix64, shingle_set, text_bytes
 from loomline.operators.components import connected_components
@@ -78,7 +78,7 @@ def _sketched(batches: Iterable[pa.RecordBatch], k: int, bands: int, rows: int)
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             bks.append(band_keys(sketch(s, bands * rows), bands) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(bks, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"]
+            [batch["doc_id"], batch["mark"], pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(bks, pa.list_(pa.int64()))], ["doc_id", "mark", "n_shingles", "key", "bands"]
         )
 
 
@@ -123,20 +123,27 @@ def _undecided_pairs(classes: DataFrame, sets: DataFrame, threshold: int) -> Dat
     return pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
 
 
+def row_mark() -> Column:
+    """16 bytes that rows share if their doc_id and text are equal (a null text is empty)."""
+    of = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+    return F.unhex(F.md5(of.cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, key (class of equal sets) and copies (documents in the class).
+    """doc_id, n_shingles, component_id, kept, key (class of equal sets), copies (documents in the class), component and mark.
 
     ``docs`` needs doc_id and text; other columns are not read. Texts with fewer than k
     words have their whole word sequence as one shingle. A null text, or one without
     words, has the empty set and is linked with nothing: component_id is its doc_id. Rows
     may repeat a doc_id; each row is judged by its own text. A null doc_id never
-    becomes a component_id unless all of a component's are null.
+    becomes a component_id unless all of a component's are null. ``component`` (a class key, null for
+    the empty set) tells components apart where ids don't; ``mark`` is that of ``row_mark``.
     """
-    src = docs.select("doc_id", text_bytes().alias("text"))
-    marked = materialise(map_arrow(src, lambda b: _sketched(b, k, bands, rows), "doc_id long, n_shingles long, key binary, bands array<long>"), "nd-marked")
+    src = docs.select("doc_id", text_bytes().alias("text"), row_mark().alias("mark"))
+    marked = materialise(map_arrow(src, lambda b: _sketched(b, k, bands, rows), "doc_id long, mark binary, n_shingles long, key binary, bands array<long>"), "nd-marked")
     classes = materialise(
-        marked.where("key is not null").groupBy("key").agg(F.min(F.struct("bands", "n_shingles")).alias("s"), F.count("*").alias("copies"), F.min("doc_id").alias("least_doc")).select(
-            "key", "copies", "least_doc", F.col("s.bands").alias("bands"), F.col("s.n_shingles").alias("n")
+        marked.where("key is not null").groupBy("key").agg(F.min(F.struct("bands", "n_shingles")).alias("s"), F.count("*").alias("copies"), F.min("doc_id").alias("least_doc"), F.min("mark").alias("mark")).select(
+            "key", "copies", "least_doc", "mark", F.col("s.bands").alias("bands"), F.col("s.n_shingles").alias("n")
         ),
         "nd-classes",
     )
@@ -145,8 +152,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, ban
     shared = materialise(placed.join(buckets.hint("merge"), "bucket").select("bucket", "key", "n"), "nd-shared")
 
     # The full sets of classes that share a bucket, from one text of each class.
-    involved = shared.select("key").distinct().join(classes.select("key", "least_doc"), "key").select(F.col("least_doc").alias("doc_id")).distinct()
-    texts = src.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    involved = shared.select("key").distinct().join(classes.select("key", "mark"), "key").select("mark")
+    texts = src.join(involved.hint("shuffle_hash"), "mark", "left_semi").select("text")
     sets = materialise(map_arrow(texts, lambda b: _sets(b, k), "key binary, set array<long>").dropDuplicates(["key"]), "nd-sets")
 
     # A shingle that occurs in one class only is in no intersection: a class with too many of them has no link.
@@ -182,17 +189,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, ban
     named = classes.select("key", "copies", "least_doc").join(comp.select(F.col("node").alias("key"), "component"), "key", "left")
     named = materialise(named.select("key", "copies", "least_doc", F.coalesce("component", "key").alias("component")), "nd-named")
     least = materialise(named.groupBy("component").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("c")).where("c > 1"), "nd-least")
-    named = join_hot(named, least, "component", "c").select("key", "copies", "least_doc", F.coalesce("component_id", "least_doc").alias("component_id"))
-    many = materialise(named.where("copies > 1 or component_id != least_doc").select("key", "copies", "component_id"), "nd-many")
-    out = join_hot(marked.select("doc_id", "n_shingles", "key"), many.withColumn("weight", F.col("copies")), "key", "weight")
+    named = join_hot(named, least, "component", "c").select("key", "copies", "least_doc", "component", F.coalesce("component_id", "least_doc").alias("component_id"))
+    other = (F.col("component") != F.col("key")) | ~F.col("component_id").eqNullSafe(F.col("least_doc"))
+    many = materialise(named.where((F.col("copies") > 1) | other).select("key", "copies", "component_id", "component"), "nd-many")
+    out = join_hot(marked.select("doc_id", "n_shingles", "key", "mark"), many.withColumn("weight", F.col("copies")), "key", "weight")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key", F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.coalesce("component", "key").alias("component"), "mark",
+    )
 
 
 def keep_first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component: one of each group, with the columns of ``docs``."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each component, with the columns of ``docs``: that with the least doc_id (null last), then class key, then mark.
+
+    Of rows with equal doc_id and text any one stands for all. Rows without words are linked with nothing and all stay.
+    """
+    found = near_duplicates(docs).where("key is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "mark").alias("place")
+    alike = found.select("component", "mark", order).groupBy("component", "mark").agg(F.min("place").alias("place"), F.count("*").alias("alike"))
+    first = alike.groupBy("component").agg(F.min(F.struct("place", "alike")).alias("first"))
+    first = materialise(first.select(F.col("first.place.mark").alias("_mark"), F.col("first.alike").alias("_alike")), "nd-first")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), row_mark().alias("_mark"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_worded"))
+    kept = rows.where("not _worded").unionByName(rows.where("_worded").join(first.where("_alike = 1").select("_mark"), "_mark", "left_semi"))
+    repeated = first.where("_alike > 1")
+    if not repeated.isEmpty():  # a task passes one row of a mark on, however often it is repeated
+        some = join_hot(rows.where("_worded"), repeated, "_mark", "_alike", "inner")
+        kept = kept.select("_doc").unionByName(some.groupBy("_mark").agg(F.first("_doc").alias("_doc")).select("_doc"))
+    return kept.select("_doc.*")
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
