@@ -5,9 +5,9 @@ File layout, all numbers little-endian or LEB128 varints:
 * blocks of about ``block_bytes``, each Zstandard-compressed: entries in key order, each
   ``shared, unshared, n_ids`` (varints), the unshared key bytes and the ids, 2 bytes each if the
   vocabulary fits, else 4. A key is the doc_id as a big-endian 64-bit number with its sign bit
-  flipped, so byte order is number order; ``shared`` bytes are taken from the key before. The first
-  key of a block is written whole.
-* sparse index: per block its first key (8 bytes), offset, stored size and plain size (u64 each).
+  flipped, so byte order is number order; a null doc_id is nine bytes 0xff, after every number.
+  ``shared`` bytes are taken from the key before. The first key of a block is written whole.
+* sparse index: per block its first key (its first 8 bytes), offset, stored size and plain size (u64 each).
 * Bloom filter over the keys: 10 bits a key, 7 probes of one 128-bit hash.
 * footer: offsets and sizes of index and filter, counts, first and last key, a magic number.
 
@@ -38,12 +38,15 @@ INDEX = struct.Struct("<8sQQQ")
 BITS, PROBES = 10, 7
 
 
-def key_bytes(doc_id: int) -> bytes:
-    return ((doc_id + (1 << 63)) % (1 << 64)).to_bytes(8, "big")
+NULL_KEY = b"\xff" * 9
 
 
-def key_number(key: bytes) -> int:
-    return int.from_bytes(key, "big") - (1 << 63)
+def key_bytes(doc_id: int | None) -> bytes:
+    return NULL_KEY if doc_id is None else ((doc_id + (1 << 63)) % (1 << 64)).to_bytes(8, "big")
+
+
+def key_number(key: bytes) -> int | None:
+    return None if key == NULL_KEY else int.from_bytes(key, "big") - (1 << 63)
 
 
 def _varint(n: int) -> bytes:
@@ -82,7 +85,7 @@ class ShardWriter:
         self.before = self.first = b""
         self.at = self.n = self.ids = 0
 
-    def add(self, doc_id: int, raw: bytes) -> None:
+    def add(self, doc_id: int | None, raw: bytes) -> None:
         key = key_bytes(doc_id)
         if key < self.before:
             raise ValueError("keys must ascend")
@@ -93,7 +96,7 @@ class ShardWriter:
         shared = 0
         while shared < len(self.before) and self.before[shared] == key[shared]:
             shared += 1
-        self.block += _varint(shared) + _varint(8 - shared) + _varint(len(raw) // 4) + key[shared:]
+        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(raw) // 4) + key[shared:]
         self.block += raw if self.width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()
         self.keys.append(key)
         self.before, self.n, self.ids = key, self.n + 1, self.ids + len(raw) // 4
@@ -133,7 +136,7 @@ class Shard:
         self.index = [INDEX.unpack(x) for x in _chunks(self.file.read_at(self.index_size, start), INDEX.size)]
         self.bloom = self.file.read_at(self.bloom_size, start + self.index_size)
 
-    def _entries(self, block: tuple) -> Iterator[tuple[int, bytes]]:
+    def _entries(self, block: tuple) -> Iterator[tuple[int | None, bytes]]:
         raw = pa.Codec("zstd").decompress(self.file.read_at(block[2], block[1]), block[3], asbytes=True)
         at, key = 0, b""
         while at < len(raw):
@@ -146,16 +149,16 @@ class Shard:
             yield key_number(key), ids if self.width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
             at += self.width * n
 
-    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+    def __iter__(self) -> Iterator[tuple[int | None, bytes]]:
         for block in self.index:
             yield from self._entries(block)
 
-    def get(self, doc_id: int) -> list[bytes]:
-        """The ids stored under a key, once for each of its documents."""
+    def get(self, doc_id: int | None) -> list[bytes]:
+        """The ids stored under a key, once for each of its documents; those of documents without an id under None."""
         key = key_bytes(doc_id)
         if not self.n or any(not self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits)):
             return []
-        low, high = 0, len(self.index)
+        low, high, key = 0, len(self.index), key[:8]
         while low < high:  # first block that starts at the key or after it
             mid = (low + high) // 2
             low, high = (mid + 1, high) if self.index[mid][0] < key else (low, mid)
@@ -186,12 +189,12 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; gives the manifest (shard, path, n_docs, n_ids).
 
     Texts travel once, in the range shuffle. Rows that share a doc_id lie next to each other,
-    in the order of their text's hash. A null doc_id has no place in a keyed file: such rows
-    are refused. A null text is empty. An empty table gives an empty manifest.
+    in the order of their text's hash. Rows with a null doc_id come after all others and are read
+    back with a null id. A null text is empty. An empty table gives an empty manifest.
     """
     path = path or default_path()
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("doc_id is null")).cast("long")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = ["doc_id", F.xxhash64("text")]
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     ranged = src.repartitionByRange(shards, *keys) if shards else src.repartitionByRange(*keys)
     ranged = ranged.sortWithinPartitions(*keys)
     done = map_arrow(ranged, lambda b: _written(b, folder, path, end_id), "shard long, path string, n_docs long, n_ids long")

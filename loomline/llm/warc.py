@@ -48,12 +48,12 @@ def _one_line(url: str | None) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     kind, block = ("response", head + payload) if refers_to is None else ("revisit", head)
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_uuid(kind, page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_one_line(url)}",
-        f"WARC-Payload-Digest: sha1:{_base32(digest)}", f"WARC-Block-Digest: sha1:{_base32(hashlib.sha1(block).hexdigest())}", f"X-Page-ID: {page_id}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{_base32(digest)}", f"WARC-Block-Digest: sha1:{_base32(hashlib.sha1(block).hexdigest())}", *([] if page_id is None else [f"X-Page-ID: {page_id}"]), f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uuid('response', refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
@@ -84,9 +84,9 @@ class _File:
         self.sha.update(packed)
         self.size += len(packed)
 
-    def add(self, page_id: int, raw: bytes) -> None:
+    def add(self, page_id: int | None, raw: bytes) -> None:
         self._put(raw)
-        self.first, self.last, self.n = page_id if self.first is None else self.first, page_id, self.n + 1
+        self.first, self.last, self.n = page_id if self.first is None else self.first, self.last if page_id is None else page_id, self.n + 1
 
     def close(self) -> tuple:
         self.out.close()
@@ -119,7 +119,8 @@ def _written(batches: Iterable[pa.RecordBatch], folder: str, roll_bytes: int) ->
     if file:
         done.append(file.close())
     if done:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], [c.split()[0] for c in _MANIFEST.split(", ")])
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), kinds)], [c.split()[0] for c in _MANIFEST.split(", ")])
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = LEAST, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
@@ -127,20 +128,22 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST, roll_bytes: in
 
     A null html is an empty payload, a null url an empty target. Rows that repeat a page_id are
     records each; of equal rows of the winning page the first is the response and the others
-    revisit it. A null page_id has no record: such rows are refused. An empty table writes nothing.
+    revisit it. A row with a null page_id is a response after all others, without an X-Page-ID: no
+    record can name it, and it revisits none. An empty table writes nothing.
     """
-    own_id = F.coalesce(F.col("page_id").cast("long"), F.raise_error(F.lit("page_id is null")).cast("long"))
-    src = pages.select(own_id.alias("page_id"), F.col("url").cast("string").alias("url"), text_bytes("html").alias("payload"))
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_bytes("html").alias("payload"))
     src = src.withColumn("digest", F.sha1("payload"))
-    large = materialise(src.where(F.octet_length("payload") >= least).select("page_id", "digest"), "warc-digests")
+    large = materialise(src.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest"), "warc-digests")
     winners = materialise(large.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("c")).where("c > 1"), "warc-winners")
     decided = join_hot(large, winners, "digest", "c", "inner")
     # The winner's own row carries no winner; it stays, as its digest marks repeated rows of that page.
     notes = decided.distinct().select("page_id", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.when(F.col("winner") != F.col("page_id"), F.col("winner")).alias("winner"))
     rows = src.select("page_id", F.lit(True).alias("is_page"), "url", "payload", "digest", F.lit(None).cast("long").alias("winner"))
     rows = rows.unionByName(materialise(notes, "warc-notes"))
-    rows = rows.repartitionByRange(shards, "page_id") if shards else rows.repartitionByRange("page_id")
-    rows = rows.sortWithinPartitions("page_id", "is_page", "digest", "url")
+    page = F.col("page_id").asc_nulls_last()
+    ranges = [page, F.when(F.col("page_id").isNull(), F.xxhash64("digest", "url"))]  # rows of one page stay together, those of none need not
+    rows = rows.repartitionByRange(shards, *ranges) if shards else rows.repartitionByRange(*ranges)
+    rows = rows.sortWithinPartitions(page, "is_page", "digest", "url")
     return materialise(map_arrow(rows, lambda b: _written(b, folder, roll_bytes), _MANIFEST), "warc-manifest")
 
 
@@ -178,7 +181,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size, refers_to = int(head["x-payload-length"]), head.get("x-refers-to-page-id")
                     if head["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"{uri}: a payload does not match its digest")
-                    rows.append((int(head["x-page-id"]), head["warc-target-uri"] if "warc-target-uri" in head else "", size, digest, head["warc-type"], None if refers_to is None else int(refers_to)))
+                    rows.append((int(head["x-page-id"]) if "x-page-id" in head else None, head["warc-target-uri"] if "warc-target-uri" in head else "", size, digest, head["warc-type"], None if refers_to is None else int(refers_to)))
                     if len(rows) >= 5000:
                         yield _rows(rows)
                         rows = []
