@@ -106,14 +106,14 @@ def _searched(batches: Iterable[pa.RecordBatch], patterns) -> Iterator[pa.Record
             found, who = table.find(w)
             n.append(len(w))
             spans.append([{"a": a, "b": b} for a, b in _merge([*((x["a"], x["b"]) for x in old), *found])])
-            items.append(seen + [table.items[i] for i in who])
+            items.append(seen + [table.items[i] for i in who if table.items[i] is not None])
         cols = {f.name: batch[f.name] for f in batch.schema if f.name not in ("_text", "_words", "_spans", "_items")}
         yield pa.RecordBatch.from_pydict(cols | {"_text": batch["_text"], "_words": pa.array(n, pa.int64()), "_spans": pa.array(spans, span), "_items": pa.array(items, pa.list_(pa.string()))})
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark in blocks of about ``block_bytes``; the driver holds one at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("text")).where("item_id is not null").groupBy("item_id", "text").agg(F.lit(1))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("text")).groupBy("item_id", "text").agg(F.lit(1))
     block, size = [], 0
     for r in rows.toLocalIterator():
         block.append((r["item_id"], bytes(r["text"])))
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """``docs`` (its columns untouched) with n_words, n_hit, items (ids, sorted as strings), n_items and contaminated.
 
     A null or empty text has no words and is clean, as is every text when the benchmark is
-    empty. A null item id is ignored; rows that repeat an item_id with other texts are windows
+    empty. Rows with a null item id hit like others, but name no item; rows that repeat an item_id with other texts are windows
     of one item. Columns of ``docs`` with the names added here are replaced.
     """
     spark = docs.sparkSession
