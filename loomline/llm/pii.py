@@ -107,7 +107,7 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     has_digit = any(d in text for d in "0123456789")
     for kind, pattern in _LOOSE:
-        if kind == "email" and not ("at]" in text or "at)" in text or " dot " in text):
+        if kind == "email" and not ("dot]" in text or "dot)" in text or " dot " in text):
             continue
         if kind == "name" and not any(t in text for t in _NAME_TITLES):
             continue
