@@ -124,9 +124,9 @@ def _undecided_pairs(classes: DataFrame, sets: DataFrame, threshold: int) -> Dat
 
 
 def row_mark() -> Column:
-    """16 bytes that rows share if their doc_id and text are equal (a null text is empty)."""
-    of = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
-    return F.unhex(F.md5(of.cast("binary")))
+    """128 bits, in hex, that rows share if their doc_id and text are equal (a null text is empty); copies no text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.concat(F.hex(F.xxhash64("doc_id", text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text, "doc_id")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, ban
     the empty set) tells components apart where ids don't; ``mark`` is that of ``row_mark``.
     """
     src = docs.select("doc_id", text_bytes().alias("text"), row_mark().alias("mark"))
-    marked = materialise(map_arrow(src, lambda b: _sketched(b, k, bands, rows), "doc_id long, mark binary, n_shingles long, key binary, bands array<long>"), "nd-marked")
+    marked = materialise(map_arrow(src, lambda b: _sketched(b, k, bands, rows), "doc_id long, mark string, n_shingles long, key binary, bands array<long>"), "nd-marked")
     classes = materialise(
         marked.where("key is not null").groupBy("key").agg(F.min(F.struct("bands", "n_shingles")).alias("s"), F.count("*").alias("copies"), F.min("doc_id").alias("least_doc"), F.min("mark").alias("mark")).select(
             "key", "copies", "least_doc", "mark", F.col("s.bands").alias("bands"), F.col("s.n_shingles").alias("n")
@@ -210,13 +210,15 @@ def keep_first_of_each(docs: DataFrame) -> DataFrame:
     alike = found.select("component", "mark", order).groupBy("component", "mark").agg(F.min("place").alias("place"), F.count("*").alias("alike"))
     first = alike.groupBy("component").agg(F.min(F.struct("place", "alike")).alias("first"))
     first = materialise(first.select(F.col("first.place.mark").alias("_mark"), F.col("first.alike").alias("_alike")), "nd-first")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), row_mark().alias("_mark"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_worded"))
-    kept = rows.where("not _worded").unionByName(rows.where("_worded").join(first.where("_alike = 1").select("_mark"), "_mark", "left_semi"))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    single = first.where("_alike = 1").select("_mark")
+    kept = docs.where(~worded).unionByName(docs.where(worded).join(single, row_mark() == F.col("_mark"), "left_semi"))
     repeated = first.where("_alike > 1")
     if not repeated.isEmpty():  # a task passes one row of a mark on, however often it is repeated
-        some = join_hot(rows.where("_worded"), repeated, "_mark", "_alike", "inner")
-        kept = kept.select("_doc").unionByName(some.groupBy("_mark").agg(F.first("_doc").alias("_doc")).select("_doc"))
-    return kept.select("_doc.*")
+        rows = docs.where(worded).select(F.struct(*docs.columns).alias("_doc"), row_mark().alias("_mark"))
+        some = join_hot(rows, repeated, "_mark", "_alike", "inner").groupBy("_mark").agg(F.first("_doc").alias("_doc"))
+        kept = kept.unionByName(some.select("_doc.*"))
+    return kept
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
