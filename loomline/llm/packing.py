@@ -1,8 +1,8 @@
 """Cost-balanced packing of documents into token sequences of fixed capacity.
 
 A piece of n tokens costs ``linear * n + quadratic * n * n`` (attention within the piece).
-Pieces are placed in descending cost, each into the lowest-cost sequence with room, whole
-where one of the cheapest sequences can hold it, else cut at the room that is there.
+Pieces are placed in descending cost, each into the lowest-cost sequence that can hold it
+whole; a piece that no sequence can hold is cut at the room of the lowest-cost open one.
 
 Nothing is shuffled: each task packs the documents of its own partition as they stream by,
 a window of about ``window`` sequences at a time. A window fills all its sequences; what is
@@ -16,6 +16,7 @@ import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -31,34 +32,31 @@ def cost(n: int, linear: float, quadratic: float) -> float:
     return linear * n + quadratic * n * n
 
 
-def place(lengths: list[int], capacity: int, last: bool, linear: float = 1.0, quadratic: float = 1 / 1024, tries: int = 24) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+def place(lengths: list[int], capacity: int, last: bool, linear: float = 1.0, quadratic: float = 1 / 1024) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
     """Pack documents of these lengths. Gives (document, start, length, sequence, offset) rows and what is left over.
 
     Left over are (document, start, length) rows of under ``capacity`` tokens together; none if ``last``.
+    Of sequences of equal cost the first is taken, of documents of equal cost too.
     """
     total = sum(lengths)
     n = -(-total // capacity) if last else total // capacity
-    used, costs = [0] * n, [0.0] * n
-    cheapest = [(0.0, s) for s in range(n)]  # sequences with room, by cost
+    room, costs = np.full(n, capacity), np.zeros(n)
     pieces = [(-x, d, 0) for d, x in enumerate(lengths) if x]
     heapq.heapify(pieces)  # equal cost order and length order: cost grows with length
-    rows = []
-    while pieces and cheapest:
+    rows, open_ = [], n
+    while pieces and open_:
         size, doc, start = heapq.heappop(pieces)
-        size, passed = -size, []
-        while cheapest and len(passed) < tries:
-            passed.append(heapq.heappop(cheapest))
-            if capacity - used[passed[-1][1]] >= size:
-                break
-        room = capacity - used[passed[-1][1]]
-        seq = passed[-1][1] if room >= size else passed[0][1]
-        take = min(size, capacity - used[seq])
-        rows.append((doc, start, take, seq, used[seq]))
-        used[seq] += take
+        size = -size
+        holds = np.where(room >= size, costs, np.inf)
+        seq = int(holds.argmin())
+        if holds[seq] == np.inf:
+            seq = int(np.where(room > 0, costs, np.inf).argmin())
+        free = int(room[seq])
+        take = min(size, free)
+        rows.append((doc, start, take, seq, capacity - free))
+        room[seq] = free - take
         costs[seq] += cost(take, linear, quadratic)
-        for _, s in passed:
-            if used[s] < capacity:
-                heapq.heappush(cheapest, (costs[s], s))
+        open_ -= take == free
         if take < size:
             heapq.heappush(pieces, (take - size, doc, start + take))
     return rows, [(doc, start, -size) for size, doc, start in sorted(pieces)]

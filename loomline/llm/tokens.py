@@ -4,8 +4,8 @@ Byte-level BPE splits a text before it merges, and a single space always starts
 text is cut at its spaces, and a stretch (a space and what follows) that was seen before is taken
 from a bounded cache. New stretches of letters and end marks go to the library's BPE model directly,
 after the split the library would make; all others go to the library's ``encode``. So do, whole,
-texts with white space that the cut doesn't hold for: other than spaces and newlines, two spaces in
-a row, a space between newlines or at either end.
+texts that hold the string of an added token, and texts with white space that the cut doesn't hold
+for: other than spaces and newlines, two spaces in a row, a space between newlines or at either end.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())  # matched in texts before they are split
         self.model = self.library.model
         self.parts = _Recent(self._part, most)  # what the split leaves whole
         self.stretches = _Recent(lambda s: self._stretch(" " + s), most)  # keys lack their leading space
@@ -90,7 +90,7 @@ class Encoder:
         """Ids of the whole text, 4 bytes each."""
         if not text:
             return b""
-        if text[0] == " " or text[-1] == " " or "  " in text or "\n \n" in text or _ODD_SPACE.search(text):
+        if text[0] == " " or text[-1] == " " or "  " in text or "\n \n" in text or _ODD_SPACE.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         first, *rest = text.split(" ")
         return self._stretch(first) + b"".join(map(self.stretches.__getitem__, rest))

@@ -298,8 +298,8 @@ def test_wu_manber_equals_brute_force():
 def test_decontamination_edges(spark, edge, empty):
     bench = spark.createDataFrame([(10, "The CAT sat-on the mat"), (9, "cat sat"), (None, "x"), (7, None), (7, "")], "item_id long, text string")
     docs = edge.where("doc_id < 8").withColumn("n_hit", F.lit("clash"))
-    for size in (1 << 20, 1):  # in one block, and one block an item
-        rows = {r["doc_id"]: r for r in decontam.contamination(docs, bench, block_bytes=size).collect()}
+    for size in (1 << 24, 1):  # in one block, and in several
+        rows = {r["doc_id"]: r for r in decontam.contamination(docs, bench, table_bytes=size).collect()}
         assert rows[5]["items"] == ["10", "9"] and rows[5]["contaminated"] and rows[5]["n_hit"] == 120 and not rows[0]["contaminated"] and rows[0]["n_words"] == 0
     assert decontam.contamination(empty, bench).count() == 0 and not any(r["contaminated"] for r in decontam.contamination(edge, bench.limit(0)).collect())
     assert decontam.keep_clean(edge, bench).columns == edge.columns
