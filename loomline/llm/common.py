@@ -12,7 +12,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOME = str(Path(__file__).resolve().parents[2])
@@ -32,11 +34,55 @@ def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder's or file's URI; Spark's names for object stores are known too."""
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest)
+
+
+class NewFile:
+    """A file written under a temporary name and renamed when whole; a failed attempt leaves nothing behind.
+
+    The temporary name holds the task attempt, so an attempt never writes into another's file.
+    """
+
+    def __init__(self, uri: str):
+        self.fs, self.path = file_system(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        task = TaskContext.get()
+        self.part = f"{self.path}.{task.taskAttemptId() if task else 0}.tmp"
+        self.out = self.fs.open_output_stream(self.part)
+
+    def write(self, raw: bytes) -> None:
+        self.out.write(raw)
+
+    def commit(self) -> None:
+        self.out.close()
+        try:
+            self.fs.move(self.part, self.path)
+        except OSError:  # some file systems don't replace: what an earlier attempt wrote has the same content
+            if self.fs.get_file_info(self.path).type != pafs.FileType.File:
+                raise
+            self.fs.delete_file(self.part)
+
+    def discard(self) -> None:
+        self.out.close()
+        self.fs.delete_file(self.part)
+
+
 def text_bytes(col: str = "text") -> Column:
     """A text column as UTF-8 bytes, null as empty: no decoding on the way to Python."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores after it until no column is called so (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; forgets everything beyond ``most`` words to bound memory."""
 

@@ -23,12 +23,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loomline.llm.common import map_arrow
+from loomline.llm.common import NewFile, file_system, map_arrow
 from loomline.llm.tokens import default_path, encoder
 from loomline.session import materialise, scratch_path
 
@@ -76,10 +75,7 @@ def _probes(key: bytes, bits: int) -> list[int]:
 
 class ShardWriter:
     def __init__(self, path: str, block_bytes: int = 256 << 10, width: int = 4):
-        self.fs, self.path = pafs.FileSystem.from_uri(path)
-        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.part = f"{self.path}.{xxhash.xxh3_64_hexdigest(f'{path}{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}')}.tmp"
-        self.out = self.fs.open_output_stream(self.part)
+        self.out = NewFile(path)
         self.block_bytes, self.block, self.index, self.keys = block_bytes, bytearray(), [], []
         self.codec, self.width = pa.Codec("zstd", compression_level=1), width
         self.before = self.first = b""
@@ -118,15 +114,14 @@ class ShardWriter:
                 bloom[p >> 3] |= 1 << (p & 7)
         edge = (self.keys[0], self.keys[-1]) if self.keys else (b"\0" * 8,) * 2
         self.out.write(index + bloom.tobytes() + FOOTER.pack(self.at, len(index), len(bloom), bits, self.n, self.ids, self.width, *edge, MAGIC))
-        self.out.close()
-        self.fs.move(self.part, self.path)
+        self.out.commit()
 
 
 class Shard:
     """Reads a shard: whole, block by block, or one key by filter, binary search and one block."""
 
     def __init__(self, path: str):
-        fs, at = pafs.FileSystem.from_uri(path)
+        fs, at = file_system(path)
         self.file = fs.open_input_file(at)
         size = self.file.size()
         foot = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
@@ -175,13 +170,19 @@ def _chunks(raw: bytes, n: int) -> Iterator[bytes]:
 
 def _written(batches: Iterable[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     end, part, writer = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), None
-    with encoder(path) as ids:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                writer = writer or ShardWriter(f"{folder}/shard-{part:06d}.sst", width=2 if max(ids.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
-                writer.add(doc_id, ids.encode(text.as_py()) + end)
+    try:
+        with encoder(path) as ids:
+            for batch in batches:
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                    writer = writer or ShardWriter(f"{folder}/shard-{part:06d}.sst", width=2 if max(ids.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
+                    writer.add(doc_id, ids.encode(text.as_py()) + end)
+        if writer:
+            writer.close()
+    except BaseException:
+        if writer:
+            writer.out.discard()
+        raise
     if writer:
-        writer.close()
         yield pa.RecordBatch.from_pydict({"shard": [part], "path": [f"{folder}/shard-{part:06d}.sst"], "n_docs": [writer.n], "n_ids": [writer.ids]})
 
 

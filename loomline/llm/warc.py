@@ -20,11 +20,10 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from loomline.llm.common import map_arrow, text_bytes
+from loomline.llm.common import NewFile, file_system, map_arrow, text_bytes
 from loomline.operators.joins import join_hot
 from loomline.session import materialise, scratch_path
 
@@ -70,10 +69,7 @@ class _File:
     def __init__(self, folder: str, shard: int, number: int):
         self.name = f"pages-{shard:06d}-{number:04d}.warc.gz"
         self.uri, self.number, self.size, self.n, self.first, self.last = f"{folder}/{self.name}", number, 0, 0, None, None
-        self.fs, self.path = pafs.FileSystem.from_uri(self.uri)
-        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.part = f"{self.path}.{TaskContext.get().taskAttemptId()}.tmp"
-        self.out, self.sha = self.fs.open_output_stream(self.part), hashlib.sha256()
+        self.out, self.sha = NewFile(self.uri), hashlib.sha256()
         info = f"software: loomline\r\nformat: WARC File Format 1.1\r\nshard: {shard}\r\nfile: {number}\r\n".encode()
         lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {_uuid('warcinfo', shard, number)}", f"WARC-Date: {DATE}", f"WARC-Filename: {self.name}", "Content-Type: application/warc-fields", f"Content-Length: {len(info)}"]
         self._put(("\r\n".join(lines) + "\r\n\r\n").encode() + info + b"\r\n\r\n")
@@ -89,8 +85,7 @@ class _File:
         self.first, self.last, self.n = page_id if self.first is None else self.first, self.last if page_id is None else page_id, self.n + 1
 
     def close(self) -> tuple:
-        self.out.close()
-        self.fs.move(self.part, self.path)
+        self.out.commit()
         return (self.uri, self.size, self.n, self.first, self.last, self.sha.hexdigest())
 
 
@@ -100,24 +95,29 @@ _MANIFEST = "path string, bytes long, records long, first_page long, last_page l
 def _written(batches: Iterable[pa.RecordBatch], folder: str, roll_bytes: int) -> Iterator[pa.RecordBatch]:
     shard, file, number = TaskContext.get().partitionId(), None, 0
     page, winners, done = None, {}, []
-    for batch in batches:
-        for page_id, is_page, url, payload, digest, winner in zip(*(batch[c].to_pylist() for c in ("page_id", "is_page", "url", "payload", "digest", "winner"))):
-            if page_id != page:
-                page, winners = page_id, {}
-            if not is_page:  # (winner, how many of this page's rows with this digest are responses)
-                winners[digest] = winner
-                continue
-            refers_to = winners.get(digest)
-            if refers_to is None and digest in winners:
-                winners[digest] = page_id  # the first of equal rows of the winning page is the response
-            if file and file.size >= roll_bytes:
-                done.append(file.close())
-                file = None
-            if not file:
-                file, number = _File(folder, shard, number), number + 1
-            file.add(page_id, record(page_id, url, payload, digest, refers_to))
-    if file:
-        done.append(file.close())
+    try:
+        for batch in batches:
+            for page_id, is_page, url, payload, digest, winner in zip(*(batch[c].to_pylist() for c in ("page_id", "is_page", "url", "payload", "digest", "winner"))):
+                if page_id != page:
+                    page, winners = page_id, {}
+                if not is_page:  # (winner, how many of this page's rows with this digest are responses)
+                    winners[digest] = winner
+                    continue
+                refers_to = winners.get(digest)
+                if refers_to is None and digest in winners:
+                    winners[digest] = page_id  # the first of equal rows of the winning page is the response
+                if file and file.size >= roll_bytes:
+                    done.append(file.close())
+                    file = None
+                if not file:
+                    file, number = _File(folder, shard, number), number + 1
+                file.add(page_id, record(page_id, url, payload, digest, refers_to))
+        if file:
+            done.append(file.close())
+    except BaseException:
+        if file:
+            file.out.discard()
+        raise
     if done:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), kinds)], [c.split()[0] for c in _MANIFEST.split(", ")])
@@ -168,7 +168,7 @@ def parse(raw) -> Iterator[tuple[dict[str, str], bytes]]:
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri in batch["path"].to_pylist():
-            fs, path = pafs.FileSystem.from_uri(uri)
+            fs, path = file_system(uri)
             rows = []
             with fs.open_input_stream(path, compression=None) as packed, gzip.open(packed) as raw:
                 for head, block in parse(raw):
