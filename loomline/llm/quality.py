@@ -93,31 +93,37 @@ def _metrics(text: Column) -> Column:
     )
 
 
+#: Where each metric is in the struct of ``_metrics``.
+_PLACES = {
+    "n_words": "w.n_words", "word_chars": "w.word_chars", "n_symbols": "n_symbols", "n_dup_lines": "l.n_dup_lines",
+    "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines", "n_stop_words": "w.n_stop_words", "n_bangs": "n_bangs",
+}
+
+
 def _fails(rule: Rule) -> Column:
-    left = F.col(rule.numerator) * rule.scale
-    right = F.lit(rule.threshold) * (F.col(rule.denominator) if rule.denominator else F.lit(1))
+    metric = lambda name: F.col(f"_metrics.{_PLACES[name]}")
+    left = metric(rule.numerator) * rule.scale
+    right = F.lit(rule.threshold) * (metric(rule.denominator) if rule.denominator else F.lit(1))
     return (left < right) if rule.op == "<" else (left > right)
 
 
 def quality(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = METHOD_RULES) -> DataFrame:
     """``docs`` with the metrics, ``failed_rules`` (names, in table order), ``base_failed`` and ``kept``.
 
-    All columns of ``docs`` stay; columns of the names added here are replaced. A null or
-    empty text has no words, so it fails the base check. Equal rows get equal results.
-    A map-only plan: one projection, no shuffle, memory bounded by one text.
+    All columns of ``docs`` stay, whatever their names; columns of the names added here are replaced.
+    A null or empty text has no words, so it fails the base check. Equal rows get equal results, an
+    empty table gives no rows. A map-only plan: one projection, no shuffle, memory bounded by one text.
     """
     own = [c for c in docs.columns if c not in ADDED]
-    m = docs.select(*own, _metrics(F.coalesce(F.col(text), F.lit(""))).alias("_m"))
-    m = m.select(
-        *own, "_m.w.n_words", "_m.w.word_chars", "_m.n_symbols", "_m.l.n_dup_lines", "_m.w.n_repeat_words", "_m.l.n_lines", "_m.w.n_stop_words", "_m.n_bangs"
-    )
+    m = docs.select(F.struct(*own).alias("_row"), _metrics(F.coalesce(F.col(text), F.lit(""))).alias("_metrics"))
     failed = lambda table: F.array_compact(F.array(*[F.when(_fails(r), F.lit(r.name)) for r in table]))
-    m = m.select("*", failed(base).alias("_b"), failed(rules).alias("_r"))
+    m = m.select("_row", "_metrics", failed(base).alias("_base"), failed(rules).alias("_rules"))
     return m.select(
-        *[c for c in m.columns if c not in ("_b", "_r")],
-        (F.size("_b") > 0).alias("base_failed"),
-        F.concat("_b", "_r").alias("failed_rules"),
-        ((F.size("_b") == 0) & (F.size("_r") == 0)).alias("kept"),
+        "_row.*",
+        *[F.col(f"_metrics.{place}").alias(name) for name, place in _PLACES.items()],
+        (F.size("_base") > 0).alias("base_failed"),
+        F.concat("_base", "_rules").alias("failed_rules"),
+        ((F.size("_base") == 0) & (F.size("_rules") == 0)).alias("kept"),
     )
 
 
@@ -125,10 +131,13 @@ ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text passes every rule, with the columns of ``docs``."""
-    marked = quality(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")))
+    """The rows of ``docs`` whose text passes every rule, with the columns of ``docs``, whatever their names.
+
+    Rows with a null, empty or short text go; equal rows stay or go together; an empty table stays empty.
+    """
+    marked = quality(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text")))
     # A filter is not pushed below this column; pushed, it would evaluate the metrics once for each rule.
-    return marked.withColumn("_place", F.monotonically_increasing_id()).where("kept and _place >= 0").select("_row.*")
+    return marked.withColumn("_place", F.monotonically_increasing_id()).where("kept and _place >= 0").select("_doc.*")
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
