@@ -19,6 +19,7 @@ components equal those of all links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomline.llm.common import WordHashes, map_arrow, mix64, shingle_set, text_bytes
+from loomline.llm.common import WordHashes, free_name, map_arrow, mix64, shingle_set, text_bytes
 from loomline.operators.components import connected_components
 from loomline.operators.joins import join_hot
 from loomline.session import materialise
@@ -34,6 +35,8 @@ from loomline.session import materialise
 BANDS, ROWS = 24, 4
 #: At 0.85 a pair shares no band with probability (1 - 0.85**4)**24 < 3e-8.
 THRESHOLD = 85
+#: Bands of set size between a size and the largest that may be linked with it.
+BANDS_A_STEP = 4
 
 
 def sketch(values: np.ndarray, t: int) -> np.ndarray:
@@ -107,20 +110,34 @@ def _undecided_pairs(classes: DataFrame, sets: DataFrame, threshold: int) -> Dat
 
     Prefix filter: with shingles in one order, rare ones first, a pair's first common shingle stands so early in
     both sets that enough of either is left after it. Shingles that only the edits of a copy have come first,
-    so an outsider of a large group of near copies meets few others. Nothing that can be linked is lost.
+    so an outsider of a large group of near copies meets few others. Of a pair, the smaller set needs the shorter
+    prefix: enough must be left for a partner of its own size. A place in the larger set leaves enough for
+    partners up to some size only, so pairs also meet by bands of the smaller set's size: pages that share a
+    frame but differ in more than the threshold allows share no key. Nothing that can be linked is lost.
     """
     shingles = sets.join(classes, "key").select("key", "n", "component", "outside", F.explode("set").alias("s"))
     often = materialise(shingles.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "nd-often")
     alone = F.col("n") - F.count("*").over(Window.partitionBy("key"))  # shingles of one class come first and have no partner
     place = F.row_number().over(Window.partitionBy("key").orderBy("df", "s")) - 1
-    early = shingles.join(often.hint("merge"), "s").withColumn("place", alone + place)
-    early = materialise(early.where((F.col("n") - F.col("place")) * 100 >= F.col("n") * threshold), "nd-early")
-    x, y = early.where("outside").alias("x"), early.alias("y")
-    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    near = left * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold
-    once = ~F.col("y.outside") | (F.col("x.key") < F.col("y.key"))
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & once & near)
-    return pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
+    early = shingles.join(often.hint("merge"), "s").withColumn("left", F.col("n") - (alone + place))
+    early = materialise(early.where(F.col("left") * 100 >= F.col("n") * threshold).drop("df"), "nd-early")
+
+    width = math.log(100 / min(threshold, 99)) / BANDS_A_STEP
+    band = lambda n: F.floor(F.log(n.cast("double")) / width).cast("int")
+    least = F.expr(f"({threshold} * n + 99) div 100")  # sizes that may be linked with n from below
+    most = F.least(F.col("n"), F.expr(f"(left * {100 + threshold} - {threshold} * n) div {threshold}"))
+    small = early.where(F.col("left") * (100 + threshold) >= F.col("n") * (2 * threshold)).withColumn("band", band(F.col("n")))
+    large = early.withColumn("least", least).withColumn("most", most).where("least <= most")
+    large = large.withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.col("most"))))).drop("least", "most")
+
+    near = F.least("x.left", "y.left") * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold
+    once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        met = (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & once & near
+        return x.alias("x").join(y.alias("y"), met).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"))
+
+    return meet(small.where("outside"), large).unionByName(meet(small.where("not outside"), large.where("outside"))).distinct()
 
 
 def row_mark() -> Column:
@@ -203,20 +220,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, ban
 def keep_first_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that with the least doc_id (null last), then class key, then mark.
 
-    Of rows with equal doc_id and text any one stands for all. Rows without words are linked with nothing and all stay.
+    Of rows with equal doc_id and text any one stands for all. Rows without words (null and empty texts too) are
+    linked with nothing and all stay. Rows with a null doc_id take part like others. An empty table stays empty.
     """
     found = near_duplicates(docs).where("key is not null")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "mark").alias("place")
     alike = found.select("component", "mark", order).groupBy("component", "mark").agg(F.min("place").alias("place"), F.count("*").alias("alike"))
     first = alike.groupBy("component").agg(F.min(F.struct("place", "alike")).alias("first"))
-    first = materialise(first.select(F.col("first.place.mark").alias("_mark"), F.col("first.alike").alias("_alike")), "nd-first")
+    mark = free_name("_mark", docs.columns)
+    first = materialise(first.select(F.col("first.place.mark").alias(mark), F.col("first.alike").alias("alike")), "nd-first")
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    single = first.where("_alike = 1").select("_mark")
-    kept = docs.where(~worded).unionByName(docs.where(worded).join(single, row_mark() == F.col("_mark"), "left_semi"))
-    repeated = first.where("_alike > 1")
+    single = first.where("alike = 1").select(mark)
+    kept = docs.where(~worded).unionByName(docs.where(worded).join(single, row_mark() == F.col(mark), "left_semi"))
+    repeated = first.where("alike > 1")
     if not repeated.isEmpty():  # a task passes one row of a mark on, however often it is repeated
-        rows = docs.where(worded).select(F.struct(*docs.columns).alias("_doc"), row_mark().alias("_mark"))
-        some = join_hot(rows, repeated, "_mark", "_alike", "inner").groupBy("_mark").agg(F.first("_doc").alias("_doc"))
+        rows = docs.where(worded).select(F.struct(*docs.columns).alias("_doc"), row_mark().alias(mark))
+        some = join_hot(rows, repeated, mark, "alike", "inner").groupBy(mark).agg(F.first("_doc").alias("_doc"))
         kept = kept.unionByName(some.select("_doc.*"))
     return kept
 
