@@ -2,10 +2,11 @@
 
 Features of a text: densities of a written lexicon and of a learned one (words, word
 beginnings), lexicon words near second-person pronouns, capitals, punctuation, obfuscated
-and stretched words. The learned lexicon, the trees and the calibration are fitted on three
-disjoint parts of one bounded sample of labelled rows (``sample_rows``, the rows with the least
-hash of doc_id), so the trees see densities of words they weren't learned from. Scoring is a
-map over all documents with the small model broadcast.
+and stretched words. All is fitted on one bounded sample of labelled rows (``sample_rows``, the
+rows with the least hash of doc_id): a fifth calibrates, the rest teaches lexicon and trees. The
+trees see a row's densities by a lexicon learned without that row's fold, at every size of the
+sample alike; calibration rows and scored texts get those of the whole lexicon, which has at most
+``lexicon_size`` terms. Scoring is a map over all documents with the small model broadcast.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomline.llm.common import map_arrow, text_bytes
+from loomline.session import materialise
 
 SAMPLE_ROWS = 30_000
 LEXICON_SIZE = 5000
+FOLDS = 4
 THRESHOLD = 0.7
 
 # Insults and second-person pronouns.
@@ -233,30 +236,30 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and clean texts have a word (as itself: ``=word``) or a word beginning; one row a term and task."""
-    toxic, clean = Counter(), Counter()
+    """In how many toxic and clean texts of a fold a word (as itself: ``=word``) or a word beginning is; one row a term, fold and task."""
+    seen: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
-        terms = list(toxic.keys() | clean.keys())
-        out = pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.binary()), "toxic": pa.array([toxic[t] for t in terms], pa.int64()), "clean": pa.array([clean[t] for t in terms], pa.int64())})
-        toxic.clear()
-        clean.clear()
+        terms, folds, labels = zip(*seen) if seen else ((), (), ())
+        out = pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.binary()), "fold": pa.array(folds, pa.int32()), "toxic": pa.array(labels, pa.int32()), "n": pa.array(seen.values(), pa.int64())})
+        seen.clear()
         return out
 
     for batch in batches:
-        for raw, label in zip(batch["text"], batch["toxic"].to_pylist()):
+        for raw, label, fold in zip(batch["text"], batch["toxic"].to_pylist(), batch["fold"].to_pylist()):
             words = set(words_of(raw.as_py()))
-            (toxic if label else clean).update({b"=" + w for w in words}.union(*map(stems_of, words)))
-        if len(toxic) + len(clean) > 300_000:
+            seen.update((term, fold, label) for term in {b"=" + w for w in words}.union(*map(stems_of, words)))
+        if len(seen) > 300_000:
             yield rows()
     yield rows()
 
 
-def _featured(batches: Iterable[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
-    extract = Extractor(lexicon.value)
+def _featured(batches: Iterable[pa.RecordBatch], lexica) -> Iterator[pa.RecordBatch]:
+    """Features by the lexicon of a row's fold; fold -1 is the calibration part, lexicon -1 the whole one."""
+    extract = {fold: Extractor(lexicon) for fold, lexicon in lexica.value.items()}
     for batch in batches:
-        x = [extract.features(raw.as_py()) for raw in batch["text"]]
-        yield pa.RecordBatch.from_pydict({"part": batch["part"], "toxic": batch["toxic"], "x": pa.array(x, pa.list_(pa.float64()))})
+        x = [extract[fold].features(raw.as_py()) for raw, fold in zip(batch["text"], batch["fold"].to_pylist())]
+        yield pa.RecordBatch.from_pydict({"fold": batch["fold"], "toxic": batch["toxic"], "x": pa.array(x, pa.list_(pa.float64()))})
 
 
 def _scored(batches: Iterable[pa.RecordBatch], model, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -273,48 +276,61 @@ def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+def lexica_of(counted: DataFrame, sizes: dict[tuple[int, int], int], lexicon_size: int) -> dict[int, Lexicon]:
+    """The whole lexicon (-1) and one without each fold, from ``counted`` (term, t0.., c0..) and rows by (fold, label).
+
+    A term is learned if it is in 3 toxic texts and in twice as many toxic texts as clean ones; the
+    ``lexicon_size`` of most toxic texts over that rate are kept.
+    """
+    lexica = {}
+    for fold in range(-1, FOLDS):
+        own = [f for f in range(FOLDS) if f != fold]
+        t, c = (sum((F.col(f"{k}{f}") for f in own), F.lit(0)) for k in "tc")
+        best = counted.select("term", t.alias("t"), c.alias("c")).where("t >= 3 and t >= 2 * c").orderBy(F.desc(F.expr("t - 2 * c")), "term").limit(lexicon_size).collect()
+        toxic, clean = (sum(sizes.get((f, label), 0) for f in own) for label in (1, 0))
+        base = np.log((toxic + 1) / (clean + 1))
+        weight = {bytes(r["term"]): max(0.1, float(np.log((r["t"] + 0.2) / (r["c"] + 0.2)) - base)) for r in best}
+        lexica[fold] = Lexicon({w[1:]: x for w, x in weight.items() if w.startswith(b"=")}, {w: x for w, x in weight.items() if not w.startswith(b"=")})
+    return lexica
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON_SIZE) -> Model:
     """A model from at most ``sample_rows`` labelled rows that aren't held out.
 
-    A doc_id with several labels counts as toxic if one says so; null ids and labels are
-    ignored. Without labels of both kinds the model falls back to the written lexicon.
+    A doc_id with several labels counts as toxic if one says so, one with several texts is read by
+    the least of them; null ids and labels are ignored. Without labels of both kinds, or without
+    documents, the model falls back to the written lexicon.
     """
     spark = docs.sparkSession
-    rows = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # Bounded by its parameter: sample_rows pairs of numbers.
+    rows = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic"))
+    # Bounded by its parameter: sample_rows triples of numbers.
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(10))  # 0-4 lexicon, 5-7 trees, 8-9 calibration
-    chosen = spark.createDataFrame(chosen.withColumn("part", part.cast("int")).toPandas().astype({"doc_id": "int64", "toxic": "int32", "part": "int32"}), "doc_id long, toxic int, part int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("part", "toxic", "text")
-
-    counted = map_arrow(texts.where("part < 5").select("toxic", "text"), _counts, "term binary, toxic long, clean long")
-    counted = counted.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3 and t >= 2 * c").orderBy(F.desc(F.expr("t - 2 * c")), "term").limit(lexicon_size)
-    terms = [(bytes(r["term"]), r["t"], r["c"]) for r in counted.collect()]
-    kinds = chosen.where("part < 5").groupBy("toxic").count().collect()
-    size = {r["toxic"]: r["count"] for r in kinds}
-    base = np.log((size.get(1, 0) + 1) / (size.get(0, 0) + 1))
-    weight = {t: max(0.1, float(np.log((n + 0.2) / (c + 0.2)) - base)) for t, n, c in terms}
-    words = {t[1:]: w for t, w in weight.items() if t.startswith(b"=")}
-    stems = {t: w for t, w in weight.items() if not t.startswith(b"=")}
-    lexicon = Lexicon(words, stems)
-
-    shared = spark.sparkContext.broadcast(lexicon)
-    rest = texts.where("part >= 5 or toxic = 1")  # with few toxic texts, those of the lexicon's part train the trees too
-    got = map_arrow(rest, lambda b: _featured(b, shared), "part int, toxic int, x array<double>").toArrow()
-    part_, y = got["part"].to_numpy(), got["toxic"].to_numpy().astype(float)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(10))  # 8 and 9 calibrate
+    chosen = chosen.withColumn("fold", F.when(part < 8, part % FOLDS).otherwise(-1).cast("int"))
+    chosen = spark.createDataFrame(chosen.toPandas().astype({"doc_id": "int64", "toxic": "int32", "fold": "int32"}), "doc_id long, toxic int, fold int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = materialise(texts.groupBy("doc_id", "fold", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    sizes = {(r["fold"], r["toxic"]): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
+
+    counted = map_arrow(texts.where("fold >= 0").select("toxic", "fold", "text"), _counts, "term binary, fold int, toxic int, n long")
+    of = lambda label, f: F.sum(F.when((F.col("toxic") == label) & (F.col("fold") == f), F.col("n")).otherwise(0))
+    counted = counted.groupBy("term").agg(*[of(1, f).alias(f"t{f}") for f in range(FOLDS)], *[of(0, f).alias(f"c{f}") for f in range(FOLDS)])
+    lexica = lexica_of(materialise(counted.where(" + ".join(f"t{f}" for f in range(FOLDS)) + " >= 3"), "toxicity-terms"), sizes, lexicon_size)
+    lexicon = lexica[-1]
+
+    shared = spark.sparkContext.broadcast(lexica)
+    got = map_arrow(texts.select("fold", "toxic", "text"), lambda b: _featured(b, shared), "fold int, toxic int, x array<double>").toArrow()
+    fold, y = got["fold"].to_numpy(), got["toxic"].to_numpy().astype(float)
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    order = np.lexsort((*x.T, y, part_))  # rows come in any order; the fit doesn't depend on it
-    part_, y, x = part_[order], y[order], x[order]
-    few = y[(part_ >= 5) & (part_ < 8)].sum() < 20
-    train = (part_ < 8) if few else (part_ >= 5) & (part_ < 8)
-    start, rate, trees = boost(x[train], y[train])
+    order = np.lexsort((*x.T, y, fold))  # rows come in any order; the fit doesn't depend on it
+    fold, y, x = fold[order], y[order], x[order]
+    start, rate, trees = boost(x[fold >= 0], y[fold >= 0])
     model = Model(lexicon, start, rate, trees, np.array([0.0]), np.array([0.0]))
     if not trees:
         model.trees = [Tree(1, np.array([1]), np.array([0.5]), np.array([-3.0, 3.0]))]
         model.start, model.rate, model.xs, model.ys = 0.0, 1.0, np.array([-3.0, 3.0]), np.array([0.05, 0.9])
         return model
-    check = part_ >= 8
-    model.xs, model.ys = isotonic(model.raw(x[check]), y[check])
+    model.xs, model.ys = isotonic(model.raw(x[fold < 0]), y[fold < 0])
     return model
 
 
