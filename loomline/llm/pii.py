@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +119,31 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+class Taken:
+    """Spans by start, and the furthest end so far: whether another span overlaps one of them."""
+
+    def __init__(self, spans: Iterable[tuple[int, int, int]] = ()):
+        ordered = sorted((s, e) for _, s, e in spans)
+        self.starts = [s for s, _ in ordered]
+        self.reach = list(accumulate((e for _, e in ordered), max))
+
+    def overlaps(self, s: int, e: int) -> bool:
+        before = bisect_left(self.starts, e)
+        return before > 0 and self.reach[before - 1] > s
+
+    def add(self, s: int, e: int) -> None:
+        """A span that overlaps none of those here."""
+        at = bisect_left(self.starts, s)
+        self.starts.insert(at, s)
+        self.reach.insert(at, e)
+
+
+def free_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Loose spans that overlap no fixed one."""
+    taken = Taken(base)
+    return [x for x in loose_spans(text) if not taken.overlaps(x[1], x[2])]
+
+
 LABELERS = ("checksum", "shape", "gazetteer", "before", "against", "repeats")
 
 
@@ -159,14 +186,15 @@ class Model:
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(fixed spans, added spans); added ones overlap no fixed one and no longer or earlier added one."""
         base = base_spans(text)
-        loose = [x for x in loose_spans(text) if not any(x[1] < e and s < x[2] for _, s, e in base)]
+        loose = free_spans(text, base)
         if not loose:
             return base, []
         p = self.probability(np.array([pattern(text, *x, False) for x in loose]))
-        added: list[tuple[int, int, int]] = []
+        added, taken = [], Taken()
         for q, x in sorted(zip(p.tolist(), loose), key=lambda y: (-y[0], y[1])):
-            if q >= THRESHOLD and not any(x[1] < e and s < x[2] for _, s, e in added):
+            if q >= THRESHOLD and not taken.overlaps(x[1], x[2]):
                 added.append(x)
+                taken.add(x[1], x[2])
         return base, sorted(added)
 
 
@@ -238,7 +266,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = value.as_py().decode("utf-8", "replace")
             base = base_spans(text)
             seen.update(pattern(text, *x, True) for x in base)
-            seen.update(pattern(text, *x, False) for x in loose_spans(text) if not any(x[1] < e and s < x[2] for _, s, e in base))
+            seen.update(pattern(text, *x, False) for x in free_spans(text, base))
     rows = sorted(seen.items())
     yield pa.RecordBatch.from_pydict({"pattern": pa.array([list(p) for p, _ in rows], pa.list_(pa.int32())), "n": pa.array([c for _, c in rows], pa.int64())})
 
