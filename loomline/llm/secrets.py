@@ -288,7 +288,11 @@ def _redacted(batches: Iterable[pa.RecordBatch], model, mark: str) -> Iterator[p
 
 
 def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span in text replaced by ``mark`` and n_chars, where there, counted anew."""
+    """``docs`` with every found span in text replaced by ``mark`` and n_chars, where there, counted anew.
+
+    Overlapping spans become one mark. A null text stays null and keeps its n_chars, an empty one stays
+    empty; repeated rows are redacted each; an empty table stays empty. Other columns stay, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*rest).alias("_row"), F.col("text").cast("binary").alias("_text"))
