@@ -91,8 +91,8 @@ def _sequences(batches: Iterable[pa.RecordBatch], ids: Encoder, end: bytes, capa
 
     for batch in batches:
         full: list[tuple] = []
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-            raw = ids.encode(text.as_py()) + end
+        for doc_id, raw in zip(batch["doc_id"].to_pylist(), ids.encode_all(batch["text"])):
+            raw += end
             tokens, at = len(raw) // 4, 0
             while tokens - at >= capacity:  # whole sequences of its own
                 full.append((doc_id, at, capacity, zlib.crc32(raw[4 * at : 4 * (at + capacity)]), tokens, base + made, 0))

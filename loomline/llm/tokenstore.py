@@ -173,9 +173,9 @@ def _written(batches: Iterable[pa.RecordBatch], folder: str, path: str, end_id:
     try:
         with encoder(path) as ids:
             for batch in batches:
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                for doc_id, raw in zip(batch["doc_id"].to_pylist(), ids.encode_all(batch["text"])):
                     writer = writer or ShardWriter(f"{folder}/shard-{part:06d}.sst", width=2 if max(ids.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
-                    writer.add(doc_id, ids.encode(text.as_py()) + end)
+                    writer.add(doc_id, raw + end)
         if writer:
             writer.close()
     except BaseException:
