@@ -143,3 +143,11 @@ BUSINESS_MODELS = (
     ("mobile_app", ("mobile", "app", "ios", "android", "smartphone", "tablet", "phone", "on the go")),
     ("saas", ("subscription", "monthly", "cloud", "platform", "dashboard", "analytics", "billing")),
 )
+
+# The concept that stands for a category (category, concept).
+CATEGORY_CONCEPTS = (
+    ("Delivery", "delivery"), ("Refund", "refund"), ("Payment", "payment"), ("Customer Support", "support"), ("Authentication", "login"), ("Account", "account"), ("Subscription", "subscription"),
+    ("Shipping", "shipping"), ("App Stability", "app_stability"), ("Performance", "performance"), ("Notification", "notification"), ("Communication", "communication"), ("Pricing", "pricing"),
+    ("Quality", "quality"), ("UI_UX", "ui_ux"), ("Trust", "trust"), ("Feature", "feature"), ("Cancellation", "cancellation"), ("Return", "return"), ("Warranty", "warranty"), ("Order", "order"),
+    ("Billing", "billing"), ("Privacy", "privacy"), ("Security", "security"),
+)

@@ -7,11 +7,12 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from loomline.functions import seeds
 
+# What counts as an address, and the signs that go (CJK too, by their range).
 URL = r"(?i)https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|[a-zA-Z0-9._-]+\.(?:com|org|net|edu|gov|io|co)\S*"
 EMOJI = (
     r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}\x{1F926}-\x{1F937}\x{10000}-\x{10FFFF}"
@@ -61,9 +62,33 @@ def correct_spelling(c: Column) -> Column:
     return c
 
 
+#: Where the two steps without a built-in may change something: entities beyond the six, and characters that NFC composes or replaces.
+RARE = (
+    r"&(?:#[0-9xX]|[A-Za-z])|[\p{M}\x{0374}\x{037E}\x{0387}\x{1100}-\x{11FF}\x{1F00}-\x{1FFF}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4F}"
+    r"\x{2F800}-\x{2FA1F}]"
+)
+
+
 def clean(c: Column) -> Column:
-    """All cleaners in their fixed order, but for NFC and rare entities (see unescape_and_nfc)."""
-    return normalise(clean_space(strip_emoji(mask_urls(strip_html(fix_mojibake(c))))))
+    """All cleaners in their fixed order, for texts without RARE characters; ``clean_rows`` takes those too."""
+    return _after_html(strip_html(fix_mojibake(c)))
+
+
+def _after_html(c: Column) -> Column:
+    return normalise(clean_space(strip_emoji(mask_urls(c))))
+
+
+def clean_rows(df: DataFrame, text: str = "text", out: str = "clean_text") -> DataFrame:
+    """Adds the cleaned text: mojibake, tags, all entities, NFC, addresses, emoji, white space, case and signs.
+
+    Texts in which entities or NFC can change something pass an Arrow function after the tags have gone; all
+    others stay within built-ins.
+    """
+    odd = F.coalesce(fix_mojibake(F.col(text)).rlike(RARE), F.lit(False))
+    plain = df.where(~odd).withColumn(out, clean(F.col(text)))
+    bare = F.regexp_replace(fix_mojibake(F.col(text)), r"<[^>]+>", " ")
+    rare = F.trim(F.regexp_replace(unescape_and_nfc(bare), r"[\s\x{00A0}]+", " "))
+    return plain.unionByName(df.where(odd).withColumn(out, _after_html(rare)))
 
 
 def content_hash(c: Column) -> Column:
@@ -166,3 +191,8 @@ def language_guess(c: Column) -> Column:
 
 def keyword_share(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words]) / F.lit(float(len(words)))
+
+
+def any_contains(col: str, part: str) -> Column:
+    """Some value of a list column contains the text, case-blind."""
+    return F.exists(col, lambda x: F.lower(x).contains(part.lower()))

@@ -13,6 +13,14 @@ def signal_key(category: Column, canonical: Column, entity: Column) -> Column:
     return F.regexp_replace(joined, "^:+|:+$", "")
 
 
+def keyed(obs: DataFrame) -> DataFrame:
+    """Observations with signal_key and signal_text: the canonical value, or the first 60 characters of the value without one; rows without a key go."""
+    text = F.coalesce(F.nullif(F.col("canonical_value"), F.lit("")), F.col("value"))
+    o = obs.withColumn("signal_key", signal_key(F.col("category"), text, F.col("entity")))
+    own = F.coalesce(F.nullif(F.col("canonical_value"), F.lit("")), F.substring("value", 1, 60))
+    return o.withColumn("signal_text", own).where("signal_key != ''")
+
+
 def evidence_confidence(docs: Column, diversity: Column, std: Column, avg_conf: Column, n: Column, base: float = 0.70) -> Column:
     part = lambda c, of: F.least(F.lit(1.0), c / of)
     c = base * 0.25 + part(docs, 100.0) * 0.20 + part(diversity, 8.0) * 0.15 + (1 - part(std, 2.5)) * 0.10 + F.least(F.lit(1.0), avg_conf) * 0.15 + part(n, 500.0) * 0.15
@@ -21,29 +29,35 @@ def evidence_confidence(docs: Column, diversity: Column, std: Column, avg_conf:
 
 def evidence(obs: DataFrame, least: int = 3) -> DataFrame:
     """Observations (observation_id, document_id, platform, country, rating, confidence, category,
-    canonical_value, entity, text_snippet) grouped by signal key; groups under ``least`` are dropped.
+    canonical_value, value, entity, text_snippet) grouped by signal key; groups under ``least`` are dropped.
 
     Lists are bounded: the 100 least ids and the 5 longest snippets of a group come from ranked
     windows over ids and lengths, not from collecting the group.
     """
-    o = obs.withColumn("signal_key", signal_key(F.col("category"), F.col("canonical_value"), F.col("entity")))
+    o = keyed(obs)
     g = o.groupBy("signal_key").agg(
         F.min("category").alias("category"), F.min("entity").alias("entity"), F.count("*").alias("observation_count"), F.count_distinct("document_id").alias("document_count"),
         F.avg("rating").alias("avg_rating"), F.coalesce(F.stddev_samp("rating"), F.lit(0.0)).alias("rating_std"), F.avg("confidence").alias("avg_confidence"),
-        F.count_distinct("platform").alias("platforms"), F.count_distinct("country").alias("countries"), F.min("canonical_value").alias("signal_text"),
+        F.count_distinct("platform").alias("platforms"), F.count_distinct("country").alias("countries"), F.min("signal_text").alias("signal_text"),
     ).where(F.col("observation_count") >= least)
     conf = evidence_confidence(F.col("document_count"), F.col("platforms") + F.col("countries"), F.col("rating_std"), F.col("avg_confidence"), F.col("observation_count"))
     eid = F.substring(F.sha2(F.concat_ws(":", F.lit("ev"), "signal_key", F.coalesce("entity", F.lit(""))), 256), 1, 16)
     return g.withColumn("confidence", F.round(conf, 4)).withColumn("evidence_id", eid)
 
 
-def evidence_members(obs: DataFrame, ids: int = 100, snippets: int = 5) -> DataFrame:
-    """signal_key, observation_ids (least first), top_snippets (longest first)."""
-    o = obs.withColumn("signal_key", signal_key(F.col("category"), F.col("canonical_value"), F.col("entity")))
-    by_id = F.row_number().over(Window.partitionBy("signal_key").orderBy("observation_id"))
-    by_length = F.row_number().over(Window.partitionBy("signal_key").orderBy(F.desc(F.length("text_snippet")), "text_snippet", "observation_id"))
-    r = o.select("signal_key", "observation_id", "text_snippet", by_id.alias("i"), by_length.alias("l")).where((F.col("i") <= ids) | (F.col("l") <= snippets))
-    return r.groupBy("signal_key").agg(
+def evidence_members(obs: DataFrame, ids: int = 100, snippets: int = 5, salts: int = 64) -> DataFrame:
+    """signal_key, observation_ids (least first), top_snippets (longest first).
+
+    Ranks are taken first within salted parts of a key and then among what those leave, so a key of any size meets in
+    one task with at most ``salts * (ids + snippets)`` rows.
+    """
+    o = keyed(obs)
+    o = o.select("signal_key", "observation_id", "text_snippet", F.pmod(F.xxhash64("observation_id"), F.lit(salts)).alias("salt"))
+    for part in (["signal_key", "salt"], ["signal_key"]):
+        by_id = F.row_number().over(Window.partitionBy(*part).orderBy("observation_id"))
+        by_length = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc(F.length("text_snippet")), "text_snippet", "observation_id"))
+        o = o.withColumn("i", by_id).withColumn("l", by_length).where((F.col("i") <= ids) | (F.col("l") <= snippets))
+    return o.groupBy("signal_key").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("i") <= ids, F.struct("i", "observation_id")))), lambda x: x["observation_id"]).alias("observation_ids"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("l") <= snippets, F.struct("l", "text_snippet")))), lambda x: x["text_snippet"]).alias("top_snippets"),
     )
@@ -51,7 +65,7 @@ def evidence_members(obs: DataFrame, ids: int = 100, snippets: int = 5) -> DataF
 
 def platform_distribution(obs: DataFrame, col: str = "platform") -> DataFrame:
     """Counts per key and platform, as a map; the keys of a map are the few platforms."""
-    o = obs.withColumn("signal_key", signal_key(F.col("category"), F.col("canonical_value"), F.col("entity")))
+    o = keyed(obs)
     c = o.where(F.col(col).isNotNull()).groupBy("signal_key", col).agg(F.count("*").alias("n"))
     return c.groupBy("signal_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(col, "n")))).alias("distribution"))
 
@@ -68,7 +82,7 @@ def exclusion_reason(least_docs: int, high_rating: float = 4.0) -> Column:
     return (
         F.when(F.col("document_count") < least_docs, "low_documents")
         .when(F.col("avg_rating") > high_rating, "high_rating")
-        .when((text == entity) & (entity != ""), "entity_only")
+        .when(((text == entity) & (entity != "")) | text.isin([name.lower() for name, _, _ in seeds.ENTITIES]), "entity_only")
         .when(text.isin(list(seeds.GENERIC_PHRASES)), "generic_phrase")
         .when(F.coalesce("category", F.lit("")) == "", "no_category")
     )
@@ -81,8 +95,19 @@ def signals(ev: DataFrame, least_docs: int, min_confidence: float = 0.0) -> Data
     g = ok.groupBy("category", "signal_text").agg(
         F.count("*").alias("evidence_count"), F.sum("document_count").alias("document_count"), F.sum("observation_count").alias("observation_count"),
         (F.sum(F.col("avg_rating") * F.col("observation_count")) / F.sum(F.when(rated, F.col("observation_count")))).alias("avg_rating"), F.avg("avg_rating").alias("mean_rating"),
+        F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"),  # one of each entity
         F.avg("confidence").alias("evidence_confidence"), F.max(F.struct("observation_count", F.coalesce("entity", F.lit("")).alias("entity")))["entity"].alias("entity"),
     )
     rating = F.when(F.col("mean_rating").isNull(), 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("mean_rating") / 5.0))
     conf = F.col("evidence_confidence") * 0.35 + F.least(F.lit(1.0), F.col("evidence_count") / 5.0) * 0.20 + F.least(F.lit(1.0), F.col("document_count") / 500.0) * 0.25 + rating * 0.20
     return g.withColumn("confidence", F.round(F.least(F.lit(1.0), conf), 4)).where(F.col("confidence") >= min_confidence)
+
+
+def unresolved(obs: DataFrame, least: int = 2) -> DataFrame:
+    """(value, n): values that nothing resolved, seen at least ``least`` times."""
+    return obs.where(F.col("canonical_value").isNull() & F.col("entity").isNull()).groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def discarded(ev: DataFrame, least_docs: int, most: int = 200) -> DataFrame:
+    """A report of evidence that is no signal: the ``most`` rows of most documents, with the reason."""
+    return ev.withColumn("reason", exclusion_reason(least_docs)).where("reason is not null").orderBy(F.desc("document_count"), "evidence_id").limit(most)

@@ -63,7 +63,7 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", per_doc: int = 20, least_df:
 
 
 def rake_phrases(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, phrase words): maximal runs of words that aren't stop words, up to four words each run's start.
+    """(id, phrase words): maximal runs of words that aren't stop words.
 
     Runs are islands between stop words: the words are joined with a mark for each stop word and split at marks.
     """
@@ -72,9 +72,9 @@ def rake_phrases(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(id_col, F.explode(F.filter(runs, lambda r: r != "")).alias("phrase"))
 
 
-def rake(docs: DataFrame, id_col: str = "doc_id", most_words: int = 4, top: int = 100) -> DataFrame:
+def rake(docs: DataFrame, id_col: str = "doc_id", top: int = 100) -> DataFrame:
     """phrase, n, score: a word scores degree / frequency, a phrase the sum over words, times its occurrences."""
-    phrases = rake_phrases(docs, id_col).groupBy("phrase").agg(F.count("*").alias("n")).withColumn("words", F.split("phrase", " ")).where(F.size("words") <= most_words)
+    phrases = rake_phrases(docs, id_col).groupBy("phrase").agg(F.count("*").alias("n")).withColumn("words", F.split("phrase", " "))
     words = phrases.select("phrase", "n", F.size("words").alias("len"), F.explode("words").alias("word"))
     scores = words.groupBy("word").agg((F.sum(F.col("n") * F.col("len")) / F.sum("n")).alias("word_score"))
     total = words.join(scores, "word").groupBy("phrase", "n").agg(F.sum("word_score").alias("s"))
@@ -101,18 +101,21 @@ def category_of(text: Column, taxonomy=seeds.TAXONOMY) -> Column:
 
 
 def enrich(observations: DataFrame, taxonomy=seeds.TAXONOMY, concepts=seeds.PATTERN_CONCEPTS) -> DataFrame:
-    """Adds canonical_value, category, canonical_source to rows with label, entity and value.
+    """Adds category, canonical_value and canonical_source to rows with label, entity and value.
 
-    A label resolves through the concept table, an entity to itself, other values through the
-    taxonomy's keywords; a category without a concept stands for itself; else the label in title case.
+    A label resolves through the label table; another row's category comes from the taxonomy's keywords and resolves
+    through the concept table, or stands for itself; an unknown label is put in title case. A row with an entity alone has no
+    canonical value, and a generic phrase loses its own unless a label gave it.
     """
-    label = F.col("label")
-    concept = F.coalesce(*[F.when(label == k, v[0]) for k, v in concepts.items()])
+    label, category = F.col("label"), F.col("category")
+    known = F.coalesce(*[F.when(label == k, v[0]) for k, v in concepts.items()])
     own = F.coalesce(*[F.when(label == k, v[1]) for k, v in concepts.items() if v[1]])
-    category = F.coalesce(own, category_of(F.col("value"), taxonomy))
-    out = observations.withColumn("category", category).withColumn("canonical_value", F.coalesce(concept, F.col("entity"), F.col("category"), T.title_case(label)))
-    source = F.when(concept.isNotNull(), "pattern_label").when(F.col("entity").isNotNull(), "entity").when(F.col("category").isNotNull(), "taxonomy").otherwise("derived")
-    return out.withColumn("canonical_source", source)
+    concept = F.coalesce(*[F.when(category == c, name) for c, name in seeds.CATEGORY_CONCEPTS])
+    generic = F.lower("value").isin(list(seeds.GENERIC_PHRASES)) & label.isNull()
+    out = observations.withColumn("category", F.coalesce(own, category_of(F.col("value"), taxonomy)))
+    out = out.withColumn("canonical_value", F.when(~generic, F.coalesce(known, concept, category, T.title_case(label))))
+    source = F.when(known.isNotNull(), "pattern").when(concept.isNotNull(), "problem_signals").when(category.isNotNull(), "taxonomy").when(label.isNotNull(), "pattern_label")
+    return out.withColumn("canonical_source", F.when(F.col("canonical_value").isNotNull(), source))
 
 
 def observation_id(kind: Column, value: Column, doc: Column) -> Column:

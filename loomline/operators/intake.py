@@ -12,10 +12,11 @@ from loomline.session import materialise
 def intake(docs: DataFrame, min_chars: int = 10, max_chars: int = 100_000, languages: tuple[str, ...] = (), id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """Adds clean_text, content_hash, is_duplicate and reason (null if the row stays); the first reason wins.
 
-    First seen is the least id of a content hash. Copied hashes and their least ids come from a partial
-    aggregate and are written once; hashes with very many copies are then joined by broadcast (join_hot).
+    First seen is the least id of a content hash. Texts are cleaned and hashed once, and written. Copied hashes and
+    their least ids come from a partial aggregate; hashes with very many copies are then joined by broadcast (join_hot).
     """
-    rows = docs.withColumn("clean_text", T.clean(F.col("text"))).withColumn("content_hash", T.content_hash(F.col("clean_text")))
+    rows = T.clean_rows(docs).withColumn("content_hash", T.content_hash(F.col("clean_text")))
+    rows = materialise(rows, "intake-clean")
     copied = rows.groupBy("content_hash").agg(F.min(id_col).alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
     rows = join_hot(rows, materialise(copied, "intake-copies"), "content_hash", "_copies")
     rows = rows.withColumn("is_duplicate", F.coalesce(F.col(id_col) > F.col("_first"), F.lit(False))).drop("_first")
@@ -46,13 +47,16 @@ def validate(raw: DataFrame, now=None) -> DataFrame:
     """Adds reasons (all that apply, in fixed order) and valid; raw has id, external_id, source, title, content, created, updated."""
     now = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    repeat = F.row_number().over(Window.partitionBy("id").orderBy("ordinal")) > 1
+    # The first of an id is that with the least ordinal; ids with very many rows (blank ones) don't meet in one task.
+    many = raw.groupBy(F.coalesce("id", F.lit("")).alias("_id")).agg(F.min("ordinal").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1")
+    raw = join_hot(raw.withColumn("_id", F.coalesce("id", F.lit(""))), materialise(many, "validate-ids"), "_id", "_rows")
+    repeat = F.coalesce(F.col("ordinal") > F.col("_first"), F.lit(False))
     checks = (
         (blank("id"), "missing_id"), (blank("external_id"), "missing_external_id"), (blank("source"), "missing_source"), (repeat, "duplicate_id"),
         (blank("title") & blank("content"), "empty_content"), (F.col("created") > now, "future_created"), (F.col("updated") > now, "future_updated"),
     )
     out = raw.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in checks])))
-    return out.withColumn("valid", F.size("reasons") == 0)
+    return out.withColumn("valid", F.size("reasons") == 0).drop("_id", "_first")
 
 
 def enrich(df: DataFrame, text: str = "content", title: str = "title") -> DataFrame:
@@ -105,11 +109,16 @@ def entropy(df: DataFrame, col: str) -> DataFrame:
 def distribution(df: DataFrame, col: str) -> DataFrame:
     """min, max, mean, population deviation, and index quantiles: the values at n div 2 and int(p (n - 1)).
 
-    Quantiles come from counts of distinct values and their running total, so no task holds all values
-    of one group; the running total is over distinct values.
+    Quantiles come from the running total of counts of distinct values: within range partitions, from what the
+    partitions before hold. Only one row a partition meets in one task.
     """
     c = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    run = c.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    c = materialise(c.repartitionByRange("v").withColumn("p", F.spark_partition_id()), "distribution")
+    held = c.groupBy("p").agg(F.sum("c").alias("held"))
+    before = F.sum("held").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")
+    held = held.select("p", before.alias("before"), F.sum("held").over(Window.partitionBy()).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    run = c.withColumn("inside", inside).join(F.broadcast(held), "p").withColumn("upto", F.col("before") + F.col("inside"))  # one row a partition
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))
     n = F.col("n")
     return run.agg(
@@ -137,3 +146,15 @@ def stratified_sample(df: DataFrame, stratum: str, most: int, key: str, seed: in
 
 def simple_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def choose_text(docs: DataFrame, preferred: tuple[str, ...] = ("clean_text", "text", "content", "title"), out: str = "chosen_text") -> DataFrame:
+    """Adds the text to read: the preferred text columns that are there, else all string columns, joined by spaces without blanks."""
+    names = [c for c in preferred if c in docs.columns] or [c for c, t in docs.dtypes if t == "string"]
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    return docs.withColumn(out, F.concat_ws(" ", *[blank(c) for c in names]) if names else F.lit(""))
+
+
+def distinct_values(docs: DataFrame, col: str) -> DataFrame:
+    """Known values of a column, sorted."""
+    return docs.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col)

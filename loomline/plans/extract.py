@@ -95,7 +95,7 @@ _MARKED = f"array_to_string(list_transform({_ALPHA}, lambda w: CASE WHEN w IN ({
 
 
 @query("rake_keyphrases", f"""WITH r AS (SELECT trim(unnest(string_split({_MARKED}, '|'))) AS phrase FROM conversations),
-p AS (SELECT phrase, count(*) AS n, string_split(phrase, ' ') AS ws FROM r WHERE phrase <> '' GROUP BY phrase HAVING len(string_split(phrase, ' ')) <= 4),
+p AS (SELECT phrase, count(*) AS n, string_split(phrase, ' ') AS ws FROM r WHERE phrase <> '' GROUP BY phrase),
 w AS (SELECT phrase, n, len(ws) AS l, unnest(ws) AS word FROM p), x AS (SELECT word, sum(n * l) / sum(n) AS s FROM w GROUP BY word)
 SELECT phrase, n, round(sum(s) * n, 4) AS score FROM w JOIN x USING (word) GROUP BY phrase, n ORDER BY score DESC, phrase LIMIT 100""")
 def rake_keyphrases(spark, d):
@@ -149,13 +149,16 @@ def _bounded_sql(k: str) -> str:
 
 
 _TAXONOMY = "coalesce(" + ", ".join(f"CASE WHEN {' OR '.join(_bounded_sql(k) for k in ks)} THEN {q(c)} END" for c, ks in seeds.TAXONOMY) + ")"
+_GENERIC = ", ".join(map(q, seeds.GENERIC_PHRASES))
+_BY_CATEGORY = "CASE category " + " ".join(f"WHEN {q(c)} THEN {q(v)}" for c, v in seeds.CATEGORY_CONCEPTS) + " END"
 OBSERVATIONS_SQL = f"""
 l AS (SELECT doc_id, quality * 3.0 + 1.0 AS rating FROM labels),
 o0 AS (SELECT doc_id, source, lang, label, NULL::VARCHAR AS entity, phrase AS value, confidence, 'pattern' AS kind FROM {_MATCHES}
   UNION ALL SELECT doc_id, source, lang, NULL, t.entity, t.term, CASE WHEN t.exact THEN 0.95 ELSE 0.95 * 0.7 END, 'entity' FROM documents d JOIN (VALUES {_FIX_TERMS}) t(entity, term, exact) ON contains(lower(d.text), t.term)),
 o1 AS (SELECT o0.*, l.rating, coalesce({_CATEGORY}, {_TAXONOMY}) AS category FROM o0 LEFT JOIN l USING (doc_id)),
-o AS (SELECT *, coalesce({_CONCEPT}, entity, category) AS canonical_value, CASE WHEN {_CONCEPT} IS NOT NULL THEN 'pattern_label' WHEN entity IS NOT NULL THEN 'entity' WHEN category IS NOT NULL THEN 'taxonomy' ELSE 'derived' END AS canonical_source,
-  substr(sha256('obs:' || kind || ':' || value || ':' || doc_id::VARCHAR), 1, 16) AS observation_id FROM o1)"""
+o2 AS (SELECT *, CASE WHEN lower(value) IN ({_GENERIC}) AND label IS NULL THEN NULL ELSE coalesce({_CONCEPT}, {_BY_CATEGORY}, category) END AS canonical_value FROM o1),
+o AS (SELECT *, CASE WHEN canonical_value IS NULL THEN NULL WHEN {_CONCEPT} IS NOT NULL THEN 'pattern' WHEN {_BY_CATEGORY} IS NOT NULL THEN 'problem_signals' WHEN category IS NOT NULL THEN 'taxonomy' END AS canonical_source,
+  substr(sha256('obs:' || kind || ':' || value || ':' || doc_id::VARCHAR), 1, 16) AS observation_id FROM o2)"""
 
 
 @query("enriched_observations", f"WITH {OBSERVATIONS_SQL} SELECT observation_id, doc_id, kind, value, category, canonical_value, canonical_source FROM o")
@@ -164,9 +167,9 @@ def enriched_observations(spark, d):
 
 
 _EVIDENCE = f"""{OBSERVATIONS_SQL},
-k AS (SELECT *, regexp_replace(lower(coalesce(category, '') || ':' || substr(coalesce(canonical_value, ''), 1, 60) || ':' || coalesce(entity, '')), '^:+|:+$', '', 'g') AS signal_key FROM o),
+k AS (SELECT *, regexp_replace(lower(coalesce(category, '') || ':' || substr(coalesce(canonical_value, value), 1, 60) || ':' || coalesce(entity, '')), '^:+|:+$', '', 'g') AS signal_key FROM o),
 g AS (SELECT signal_key, min(category) AS category, min(entity) AS entity, count(*) AS observation_count, count(DISTINCT doc_id) AS document_count, avg(rating) AS avg_rating, coalesce(stddev_samp(rating), 0) AS rating_std,
-  avg(confidence) AS avg_confidence, count(DISTINCT source) + count(DISTINCT lang) AS diversity, min(canonical_value) AS signal_text FROM k GROUP BY signal_key HAVING count(*) >= 3),
+  avg(confidence) AS avg_confidence, count(DISTINCT source) + count(DISTINCT lang) AS diversity, min(coalesce(canonical_value, substr(value, 1, 60))) AS signal_text FROM k GROUP BY signal_key HAVING count(*) >= 3),
 e AS (SELECT *, round(least(1.0, 0.7 * 0.25 + least(1.0, document_count / 100.0) * 0.20 + least(1.0, diversity / 8.0) * 0.15 + (1 - least(1.0, rating_std / 2.5)) * 0.10 + least(1.0, avg_confidence) * 0.15 + least(1.0, observation_count / 500.0) * 0.15), 4) AS confidence,
   substr(sha256('ev:' || signal_key || ':' || coalesce(entity, '')), 1, 16) AS evidence_id FROM g)"""
 
@@ -189,7 +192,8 @@ def platform_distribution(spark, d):
     return m.select("signal_key", F.array_join(pairs, ",").alias("distribution"))
 
 
-_REASON = f"CASE WHEN document_count < 3 THEN 'low_documents' WHEN avg_rating > 4.0 THEN 'high_rating' WHEN lower(trim(coalesce(signal_text, ''))) = lower(coalesce(entity, '')) AND coalesce(entity, '') <> '' THEN 'entity_only' WHEN lower(trim(coalesce(signal_text, ''))) IN ({', '.join(map(q, seeds.GENERIC_PHRASES))}) THEN 'generic_phrase' WHEN coalesce(category, '') = '' THEN 'no_category' END"
+_NAMES = ", ".join(q(n.lower()) for n, _, _ in seeds.ENTITIES)
+_REASON = f"CASE WHEN document_count < 3 THEN 'low_documents' WHEN avg_rating > 4.0 THEN 'high_rating' WHEN lower(trim(coalesce(signal_text, ''))) = lower(coalesce(entity, '')) AND coalesce(entity, '') <> '' OR lower(trim(coalesce(signal_text, ''))) IN ({_NAMES}) THEN 'entity_only' WHEN lower(trim(coalesce(signal_text, ''))) IN ({', '.join(map(q, seeds.GENERIC_PHRASES))}) THEN 'generic_phrase' WHEN coalesce(category, '') = '' THEN 'no_category' END"
 
 
 @query("evidence_exclusions", f"WITH {_EVIDENCE} SELECT coalesce({_REASON}, 'signal') AS reason, count(*) AS n FROM e GROUP BY 1")
@@ -198,16 +202,19 @@ def evidence_exclusions(spark, d):
     return V.evidence(observations(spark, d)).groupBy(F.coalesce(V.exclusion_reason(least), F.lit("signal")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("problem_signals", f"""WITH {_EVIDENCE}, s AS (SELECT category, signal_text, count(*) AS evidence_count, sum(document_count)::BIGINT AS document_count, sum(observation_count)::BIGINT AS observation_count,
- sum(avg_rating * observation_count) / sum(CASE WHEN avg_rating IS NOT NULL THEN observation_count END) AS avg_rating, avg(avg_rating) AS mean_rating, avg(confidence) AS ec FROM e WHERE {_REASON} IS NULL GROUP BY category, signal_text)
-SELECT category, signal_text, evidence_count, document_count, observation_count, round(avg_rating, 6) AS avg_rating, round(least(1.0, ec * 0.35 + least(1.0, evidence_count / 5.0) * 0.20 + least(1.0, document_count / 500.0) * 0.25 + CASE WHEN mean_rating IS NULL THEN 1.0 ELSE 1 - least(1.0, mean_rating / 5.0) END * 0.20), 4) AS confidence FROM s""")
+SIGNALS_SQL = f"""{_EVIDENCE}, s AS (SELECT category, signal_text, count(*) AS evidence_count, sum(document_count)::BIGINT AS document_count, sum(observation_count)::BIGINT AS observation_count, list_sort(list(DISTINCT evidence_id)) AS evidence_ids,
+ sum(avg_rating * observation_count) / sum(CASE WHEN avg_rating IS NOT NULL THEN observation_count END) AS avg_rating, avg(avg_rating) AS mean_rating, avg(confidence) AS ec FROM e WHERE {_REASON} IS NULL GROUP BY category, signal_text),
+sg AS (SELECT *, round(least(1.0, ec * 0.35 + least(1.0, evidence_count / 5.0) * 0.20 + least(1.0, document_count / 500.0) * 0.25 + CASE WHEN mean_rating IS NULL THEN 1.0 ELSE 1 - least(1.0, mean_rating / 5.0) END * 0.20), 4) AS confidence FROM s)"""
+
+
+@query("problem_signals", f"WITH {SIGNALS_SQL} SELECT category, signal_text, evidence_count, document_count, observation_count, round(avg_rating, 6) AS avg_rating, confidence FROM sg")
 def problem_signals(spark, d):
     least = V.adaptive_minimum(table(spark, d, "documents").count())
     s = V.signals(V.evidence(observations(spark, d)), least)
     return s.select("category", "signal_text", "evidence_count", "document_count", "observation_count", F.round("avg_rating", 6).alias("avg_rating"), "confidence")
 
 
-@query("observation_report", f"WITH {OBSERVATIONS_SQL} SELECT kind, canonical_source, count(*) AS n, count(DISTINCT doc_id) AS docs, round(count(category) * 100.0 / count(*), 4) AS category_pct FROM o GROUP BY ALL")
+@query("observation_report", f"WITH {OBSERVATIONS_SQL} SELECT kind, canonical_source, count(*) AS n, count(DISTINCT doc_id) AS docs, round(count(category) * 100.0 / count(*), 4) AS category_pct FROM o GROUP BY kind, canonical_source")
 def observation_report(spark, d):
     o = observations(spark, d)
     return o.groupBy("kind", "canonical_source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.round(F.count("category") * 100.0 / F.count("*"), 4).alias("category_pct"))
@@ -217,3 +224,25 @@ def observation_report(spark, d):
 def extraction_confidence(spark, d):
     g = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(F.col("user_id") % 50).alias("u"))
     return g.withColumn("confidence", F.round(X.boosted(F.lit(0.95), F.col("n"), F.col("u")), 6))
+
+
+@query("unresolved_values", f"WITH {OBSERVATIONS_SQL} SELECT value, count(*) AS n FROM o WHERE canonical_value IS NULL AND entity IS NULL GROUP BY value HAVING count(*) >= 2")
+def unresolved_values(spark, d):
+    return V.unresolved(observations(spark, d))
+
+
+@query("evidence_report", f"WITH {_EVIDENCE} SELECT category, count(*) AS n, sum(observation_count)::BIGINT AS observations, round(avg(confidence), 6) AS mean_confidence, count(entity) AS with_entity FROM e GROUP BY category")
+def evidence_report(spark, d):
+    e = V.evidence(observations(spark, d))
+    return e.groupBy("category").agg(F.count("*").alias("n"), F.sum("observation_count").alias("observations"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count("entity").alias("with_entity"))
+
+
+@query("discarded_evidence", f"WITH {_EVIDENCE} SELECT evidence_id, {_REASON} AS reason FROM e WHERE {_REASON} IS NOT NULL ORDER BY document_count DESC, evidence_id LIMIT 200")
+def discarded_evidence(spark, d):
+    least = V.adaptive_minimum(table(spark, d, "documents").count())
+    return V.discarded(V.evidence(observations(spark, d)), least).select("evidence_id", "reason")
+
+
+@query("title_case_labels", "SELECT DISTINCT event_type, array_to_string(list_transform(string_split(event_type, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM events")
+def title_case_labels(spark, d):
+    return table(spark, d, "events").select("event_type", T.title_case(F.col("event_type")).alias("title")).distinct()

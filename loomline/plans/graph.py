@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from loomline.operators import graph as G, reasoning as R, vectors as V
 from loomline.operators.components import connected_components
 from loomline.plans.registry import query, table
+from loomline.session import materialise
 
 # ---- vectors
 
@@ -87,8 +88,6 @@ def threshold_recommendation(spark, d):
 
 @query("relationship_confidence", f"WITH {_REL}, f AS (SELECT source_id, count(*) AS n FROM r GROUP BY 1) SELECT r.source_id, target_id, round(exp((ln(least(greatest(similarity, 1e-9), 1.0)) * 1.0 + ln(least(greatest(least(1.0, ln(1 + n::DOUBLE) / ln(100.0)), 1e-9), 1.0)) * 0.5) / 1.5), 6) AS confidence FROM r JOIN f ON f.source_id = r.source_id")
 def relationship_confidence(spark, d):
-    from pyspark.sql import Window
-
     r = rel(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("source_id")))
     return r.select("source_id", "target_id", F.round(V.confidence([(F.col("similarity"), 1.0), (V.frequency_factor(F.col("n")), 0.5)]), 6).alias("confidence"))
 
@@ -99,15 +98,46 @@ def related_items(spark, d):
     return r.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).union(r.select("target_id", "source_id")).distinct().orderBy("id", "other")
 
 
+@query("relationship_lookup", f"WITH {_REL}, p AS (SELECT min(source_id) AS s FROM r) SELECT source_id, target_id, round(similarity, 6) AS similarity FROM r, p WHERE source_id = s OR target_id = s ORDER BY similarity DESC, source_id, target_id LIMIT 5")
+def relationship_lookup(spark, d):
+    r = materialise(rel(spark, d), "lookup")
+    return V.lookup(r, either=r.agg(F.min("source_id")).first()[0], top=5).select("source_id", "target_id", F.round("similarity", 6).alias("similarity"))
+
+
+_CONFIDENT = f"{_REL}, f AS (SELECT source_id, count(*) AS n FROM r GROUP BY 1), q AS (SELECT r.*, exp((ln(least(greatest(similarity, 1e-9), 1.0)) + ln(least(greatest(least(1.0, ln(1 + n::DOUBLE) / ln(100.0)), 1e-9), 1.0)) * 0.5) / 1.5) AS confidence FROM r JOIN f USING (source_id))"
+
+
+@query("filter_pipeline", f"WITH {_CONFIDENT} SELECT 0 AS ordinal, 'similarity' AS stage, count(*) FILTER (WHERE similarity < 0.25) AS removed, count(*) FILTER (WHERE similarity >= 0.25) AS left FROM q UNION ALL SELECT 1, 'confidence', count(*) FILTER (WHERE confidence < 0.32), count(*) FILTER (WHERE confidence >= 0.32) FROM q WHERE similarity >= 0.25")
+def filter_pipeline(spark, d):
+    r = rel(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("source_id")))
+    r = r.withColumn("confidence", V.confidence([(F.col("similarity"), 1.0), (V.frequency_factor(F.col("n")), 0.5)]))
+    return V.filter_pipeline(r, [("similarity", lambda e: e.where("similarity >= 0.25")), ("confidence", lambda e: V.confident(e, 0.32))])[1]
+
+
+@query("embedding_verification", f"WITH {_E} SELECT count(*) AS n, count(*) FILTER (WHERE abs(sqrt(list_inner_product(v, v)) - 1) > 0.1) AS not_unit, count(*) - count(DISTINCT vec_id) AS repeated_ids, count(DISTINCT label % 1) AS runs, count(*) FILTER (WHERE abs(sqrt(list_inner_product(v, v)) - 1) > 0.1) = 0 AS valid FROM e")
+def embedding_verification(spark, d):
+    return V.verify(vectors(spark, d).withColumn("run", F.col("label") % 1), "vec_id", "embedding", "run", 0.1)
+
+
+@query("hashed_embeddings")
+def hashed_embeddings(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return V.embed(docs, docs.where("doc_id % 10 = 0"), "hashed", "doc_id")
+
+
 # ---- clusters
 
-_CC = """u AS (SELECT source_id AS a, target_id AS b FROM r WHERE similarity >= 0.3 UNION SELECT target_id, source_id FROM r WHERE similarity >= 0.3),
+_CC = """u AS (SELECT source_id AS a, target_id AS b FROM r WHERE similarity >= 0.4 UNION SELECT target_id, source_id FROM r WHERE similarity >= 0.4),
 reach AS (SELECT DISTINCT a AS node, a AS least FROM u UNION SELECT u.b, reach.least FROM reach JOIN u ON u.a = reach.node),
 c AS (SELECT node, min(least) AS component FROM reach GROUP BY node)"""
 
 
 def strong(spark, d):
-    return rel(spark, d).where("similarity >= 0.3").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("similarity").alias("weight"))
+    return edges_of(spark, d).where("weight >= 0.4")
+
+
+def edges_of(spark, d):
+    return rel(spark, d).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("similarity").alias("weight"))
 
 
 @query("similarity_components", f"WITH RECURSIVE {_REL}, {_CC} SELECT node, component FROM c")
@@ -120,13 +150,56 @@ def clusters_by_size(spark, d):
     return G.clusters(strong(spark, d))
 
 
-@query("cluster_metrics", f"""WITH RECURSIVE {_REL}, {_CC}, z AS (SELECT component, count(*) AS size FROM c GROUP BY 1 HAVING count(*) BETWEEN 3 AND 500),
-i AS (SELECT c.component, count(*) AS internal_edges, avg(similarity) AS m FROM r JOIN c ON c.node = r.source_id WHERE similarity >= 0.3 GROUP BY 1)
-SELECT component, size, internal_edges, round(m, 6) AS average_similarity, round(least(1.0, internal_edges / (size * (size - 1) / 2)), 6) AS density, round(least(1.0, m * 0.35 + least(1.0, internal_edges / (size * (size - 1) / 2)) * 0.25 + 0.2 + 0.2), 6) AS quality FROM z JOIN i USING (component)""")
+_METRICS = f"""{_REL}, {_CC}, z AS (SELECT component, count(*) AS size FROM c GROUP BY 1 HAVING count(*) BETWEEN 3 AND 500), cz AS (SELECT node, component, size FROM c JOIN z USING (component)),
+ew AS (SELECT similarity, a.component AS ca, b.component AS cb FROM r LEFT JOIN cz a ON a.node = r.source_id LEFT JOIN cz b ON b.node = r.target_id),
+i AS (SELECT ca AS component, count(*) AS internal_edges, avg(similarity) AS m FROM ew WHERE ca = cb GROUP BY 1),
+x AS (SELECT component, count(*) AS external_edges, avg(similarity) AS lv FROM (SELECT ca AS component, similarity FROM ew WHERE ca IS NOT NULL AND ca IS DISTINCT FROM cb UNION ALL SELECT cb, similarity FROM ew WHERE cb IS NOT NULL AND ca IS DISTINCT FROM cb) GROUP BY 1),
+mt AS (SELECT component, size, internal_edges, coalesce(external_edges, 0) AS external_edges, m AS average_similarity, internal_edges / (size * (size - 1) / 2) AS density, coalesce(1 - lv, 1.0) AS separation, 2.0 * internal_edges / size / (size - 1) AS connectivity FROM z JOIN i USING (component) LEFT JOIN x USING (component)),
+mq AS (SELECT *, least(1.0, greatest(0.0, average_similarity * 0.35 + density * 0.25 + separation * 0.2 + connectivity * 0.2)) AS quality FROM mt)"""
+
+
+def metrics_of(spark, d):
+    """Clusters over strong edges, measured over all relationships."""
+    e = materialise(edges_of(spark, d), "cluster-edges")
+    return G.cluster_metrics(e, G.clusters(e.where("weight >= 0.4")))
+
+
+@query("cluster_metrics", f"WITH RECURSIVE {_METRICS} SELECT component, size, internal_edges, external_edges, round(average_similarity, 6) AS average_similarity, round(density, 6) AS density, round(separation, 6) AS separation, round(connectivity, 6) AS connectivity, round(quality, 6) AS quality FROM mq")
 def cluster_metrics(spark, d):
-    e = strong(spark, d)
-    m = G.cluster_metrics(e, G.clusters(e))
-    return m.select("component", "size", "internal_edges", F.round("average_similarity", 6).alias("average_similarity"), F.round("density", 6).alias("density"), F.round("quality", 6).alias("quality"))
+    m = metrics_of(spark, d)
+    return m.select("component", "size", "internal_edges", "external_edges", *[F.round(c, 6).alias(c) for c in ("average_similarity", "density", "separation", "connectivity", "quality")])
+
+
+@query("cluster_statistics", f"WITH RECURSIVE {_METRICS} SELECT count(*) AS clusters, sum(size)::BIGINT AS members, sum(internal_edges)::BIGINT AS edges, round(avg(size), 6) AS mean_size, quantile_cont(size, 0.5)::DOUBLE AS median_size, min(size) AS least_size, max(size) AS most_size, round(avg(density), 6) AS mean_density, round(avg(quality), 6) AS mean_quality FROM mq")
+def cluster_statistics(spark, d):
+    s = G.cluster_statistics(metrics_of(spark, d))
+    return s.withColumns({c: F.round(c, 6) for c in ("mean_size", "mean_density", "mean_quality")})
+
+
+@query("cluster_quality_bins", f"WITH RECURSIVE {_METRICS} SELECT printf('%.1f-%.1f', b, b + 0.1) AS bin, count(*) AS n FROM (SELECT least(floor(round(quality * 10, 9)), 9) / 10 AS b FROM mq) GROUP BY 1")
+def cluster_quality_bins(spark, d):
+    return G.quality_bins(metrics_of(spark, d))
+
+
+@query("cluster_issues", f"""WITH RECURSIVE {_REL}, {_CC}, z AS (SELECT component, count(*) AS size FROM c GROUP BY 1), x AS (SELECT node FROM c JOIN z USING (component) WHERE node % 7 = 0)
+SELECT 'MIN_SIZE_VIOLATION' AS code, 'ERROR' AS severity, component::VARCHAR AS cluster, NULL::VARCHAR AS node FROM z WHERE size < 3
+UNION ALL SELECT 'MAX_SIZE_VIOLATION', 'ERROR', component::VARCHAR, NULL FROM z WHERE size > 5
+UNION ALL SELECT 'MISSING_REPRESENTATIVE', 'ERROR', component::VARCHAR, NULL FROM z WHERE component % 2 = 1
+UNION ALL SELECT 'ORPHAN_MEMBER_ID', 'ERROR', component::VARCHAR, node::VARCHAR FROM c WHERE node NOT IN (SELECT source_id FROM r WHERE similarity >= 0.42 UNION SELECT target_id FROM r WHERE similarity >= 0.42)
+UNION ALL SELECT 'DISCONNECTED_CLUSTER', 'WARN', component::VARCHAR, NULL FROM z WHERE component NOT IN (SELECT a.component FROM r JOIN c a ON a.node = r.source_id JOIN c b ON b.node = r.target_id WHERE similarity >= 0.42 AND a.component = b.component)""")
+def cluster_issues(spark, d):
+    """Clusters over edges of 0.4, held against a graph of edges of 0.42, with no representative for odd ones."""
+    e = materialise(edges_of(spark, d), "issue-edges")
+    m = connected_components(e.where("weight >= 0.4")).select("node", F.col("component").alias("cluster"))
+    reps = m.where("cluster % 2 = 0").groupBy("cluster").agg(F.min("node").alias("representative"))
+    return G.cluster_issues(m, e.where("weight >= 0.42"), reps, 3, 5).withColumn("cluster", F.col("cluster").cast("string"))
+
+
+@query("cluster_lookup", f"WITH RECURSIVE {_REL}, {_CC}, w AS (SELECT component FROM c WHERE node = (SELECT max(node) FROM c)) SELECT component AS cluster, node FROM c WHERE component IN (SELECT component FROM w)")
+def cluster_lookup(spark, d):
+    """The cluster that holds the last node."""
+    m = materialise(G.communities("connected_components", strong(spark, d)), "lookup")
+    return G.find_clusters(m, m.select("cluster", F.col("cluster").alias("representative")).distinct(), member=m.agg(F.max("node")).first()[0])
 
 
 @query("cluster_representatives")
@@ -145,23 +218,30 @@ def cluster_ids(spark, d):
 @query("average_linkage_clusters")
 def average_linkage_clusters(spark, d):
     e = strong(spark, d)
-    return G.average_linkage(e, G.clusters(e, 2, 5000), 0.25)
+    return G.average_linkage(e, G.clusters(e, 2, 500), 0.25)
+
+
+@query("post_processed_clusters")
+def post_processed_clusters(spark, d):
+    e = edges_of(spark, d)
+    return G.post_process(connected_components(e.where("weight >= 0.4")).select("node", F.col("component").alias("cluster")), e)
 
 
 @query("merged_small_clusters")
 def merged_small_clusters(spark, d):
     e = strong(spark, d)
-    return G.merge_small(G.average_linkage(e, G.clusters(e, 2, 5000), 0.25), e, 4)
+    return G.merge_small(G.average_linkage(e, G.clusters(e, 2, 500), 0.25), e, 4)
 
 
-# ---- graph algorithms on customers' groups
+# ---- graph algorithms on customers: as many nodes as there are, up to five edges out of each
 
-_G = "g AS (SELECT o_custkey % 150 AS src, (o_custkey * 7 + o_orderkey % 5) % 150 AS dst, count(*)::DOUBLE AS weight FROM orders GROUP BY ALL)"
+_G = "g AS (SELECT o_custkey AS src, (o_custkey * 7 + o_orderkey % 5) % (SELECT max(o_custkey) + 1 FROM orders) AS dst, count(*)::DOUBLE AS weight FROM orders GROUP BY ALL)"
 
 
 def graph(spark, d):
     o = table(spark, d, "orders")
-    return o.groupBy((F.col("o_custkey") % 150).alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 5) % 150).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    o = o.join(F.broadcast(o.agg((F.max("o_custkey") + 1).alias("m"))))  # one row
+    return o.groupBy(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 5) % F.col("m")).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 
 @query("graph_bfs", f"WITH RECURSIVE {_G}, b AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT g.dst, b.depth + 1 FROM b JOIN g ON g.src = b.node WHERE b.depth < 3) SELECT node, min(depth)::INTEGER AS depth FROM b GROUP BY node")
@@ -174,9 +254,9 @@ def graph_components(spark, d):
     return connected_components(graph(spark, d))
 
 
-@query("degree_centrality", f"WITH {_G} SELECT node, count(*) / 149.0 AS score FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node ORDER BY score DESC, node LIMIT 20")
+@query("degree_centrality", f"WITH {_G}, v AS (SELECT src AS node FROM g UNION SELECT dst FROM g) SELECT node, round(count(*) / ((SELECT count(*) FROM v) - 1)::DOUBLE, 9) AS score FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node ORDER BY score DESC, node LIMIT 20")
 def degree_centrality(spark, d):
-    return G.degree_centrality(graph(spark, d), 150, 20)
+    return G.degree_centrality(graph(spark, d), 20).withColumn("score", F.round("score", 9))
 
 
 @query("degree_distribution", f"WITH {_G} SELECT degree, count(*) AS n FROM (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node) GROUP BY degree")
@@ -196,21 +276,21 @@ def pagerank_4_rounds(spark, d):
     return G.pagerank(graph(spark, d), rounds=4, tolerance=0.0).select("node", F.round("rank", 8).alias("rank"))
 
 
-@query("shortest_paths", f"""WITH RECURSIVE {_G}, p AS (SELECT [src, dst] AS path, dst, 1 AS n FROM g WHERE src = 1 UNION ALL SELECT list_append(path, g.dst), g.dst, n + 1 FROM p JOIN g ON g.src = p.dst WHERE n < 3 AND NOT list_contains(path, g.dst)),
+@query("shortest_paths", f"""WITH RECURSIVE {_G}, p AS (SELECT [src, dst] AS path, dst, 1 AS n FROM g WHERE src = 1 UNION ALL SELECT list_append(path, g.dst), g.dst, n + 1 FROM p JOIN g ON g.src = p.dst WHERE n < 5 AND NOT list_contains(path, g.dst)),
 m AS (SELECT min(n) AS n FROM p WHERE dst = 77) SELECT array_to_string(path, '>') AS path FROM p JOIN m USING (n) WHERE dst = 77""")
 def shortest_paths(spark, d):
-    return G.shortest_paths(graph(spark, d), 1, 77, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.shortest_paths(graph(spark, d), 1, 77, 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("simple_paths", f"WITH RECURSIVE {_G}, p AS (SELECT [src, dst] AS path, dst, 1 AS n FROM g WHERE src = 1 AND dst <> 1 UNION ALL SELECT list_append(path, g.dst), g.dst, n + 1 FROM p JOIN g ON g.src = p.dst WHERE n < 3 AND p.dst <> 77 AND NOT list_contains(path, g.dst)) SELECT array_to_string(path, '>') AS path FROM p WHERE dst = 77")
+@query("simple_paths", f"WITH RECURSIVE {_G}, p AS (SELECT [src, dst] AS path, dst, 1 AS n FROM g WHERE src = 1 AND dst <> 1 UNION ALL SELECT list_append(path, g.dst), g.dst, n + 1 FROM p JOIN g ON g.src = p.dst WHERE n < 5 AND p.dst <> 77 AND NOT list_contains(path, g.dst)) SELECT array_to_string(path, '>') AS path FROM p WHERE dst = 77")
 def simple_paths(spark, d):
-    return G.simple_paths(graph(spark, d).where("src != dst"), 1, 77, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.simple_paths(graph(spark, d).where("src != dst"), 1, 77, 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("common_neighbours", f"WITH {_G}, u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g) SELECT b AS node FROM u WHERE a = 3 INTERSECT SELECT b FROM u WHERE a = 21")
+@query("common_neighbours", f"WITH {_G}, u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g) SELECT b AS node FROM u WHERE a = 7 INTERSECT SELECT b FROM u WHERE a = 52")
 def common_neighbours(spark, d):
     u = G.undirected(graph(spark, d))
-    return u.where("src = 3").select(F.col("dst").alias("node")).intersect(u.where("src = 21").select("dst"))
+    return u.where("src = 7").select(F.col("dst").alias("node")).intersect(u.where("src = 52").select("dst"))
 
 
 _DAG = "g AS (SELECT c_custkey + 1000 AS src, c_nationkey + 100 AS dst FROM customer UNION SELECT n_nationkey + 100, n_regionkey FROM nation)"
@@ -233,33 +313,54 @@ def betweenness(spark, d):
     return G.betweenness(graph(spark, d))
 
 
-@query("induced_subgraph", f"WITH {_G} SELECT src, dst, weight FROM g WHERE weight >= 20 AND src IN (SELECT DISTINCT c_nationkey FROM customer) AND dst IN (SELECT DISTINCT c_nationkey FROM customer)")
+@query("induced_subgraph", f"WITH {_G}, k AS (SELECT c_custkey AS n FROM customer WHERE c_mktsegment = 'BUILDING') SELECT src, dst, weight FROM g WHERE src IN (SELECT n FROM k) AND dst IN (SELECT n FROM k)")
 def induced_subgraph(spark, d):
-    keep = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("n")).distinct()
-    g = graph(spark, d).where("weight >= 20")
-    return g.join(F.broadcast(keep), F.col("src") == F.col("n"), "left_semi").join(F.broadcast(keep), F.col("dst") == F.col("n"), "left_semi")
+    keep = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("n"))
+    g = graph(spark, d)
+    return g.join(keep, F.col("src") == F.col("n"), "left_semi").join(keep, F.col("dst") == F.col("n"), "left_semi")
+
+
+@query("without_nodes", f"WITH {_G}, k AS (SELECT c_custkey AS n FROM customer WHERE c_mktsegment = 'BUILDING') SELECT src, dst, weight FROM g WHERE src NOT IN (SELECT n FROM k) AND dst NOT IN (SELECT n FROM k)")
+def without_nodes(spark, d):
+    return G.without_nodes(graph(spark, d), table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node")))
+
+
+@query("predecessors", f"WITH RECURSIVE {_G}, b AS (SELECT 77::BIGINT AS node, 0 AS depth UNION SELECT g.src, b.depth + 1 FROM b JOIN g ON g.dst = b.node WHERE b.depth < 2) SELECT node, min(depth)::INTEGER AS depth FROM b GROUP BY node HAVING min(depth) > 0")
+def predecessors(spark, d):
+    return G.neighbourhood(graph(spark, d), 77, 2, "in")
+
+
+@query("depth_first_order")
+def depth_first_order(spark, d):
+    return G.depth_first(graph(spark, d).where("src < 400 and dst < 400"), 1)
+
+
+_HEALTHY = "100.0 - greatest(0.0, (10000 - nodes) / 10000.0 * 20) - greatest(0.0, (20000 - edges) / 20000.0 * 20) - greatest(0.0, (0.5 - largest_ratio) / 0.5 * 20) - greatest(0.0, (8 - avg_degree) / 8.0 * 20)"
 
 
-@query("graph_health", f"""WITH RECURSIVE {_G}, d AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node)
-SELECT (SELECT count(*) FROM d) AS nodes, (SELECT count(*) FROM g) AS edges, round((SELECT avg(k) FROM d), 6) AS avg_degree, round(2.0 * (SELECT count(*) FROM g) / ((SELECT count(*) FROM d) * ((SELECT count(*) FROM d) - 1)), 6) AS density""")
+@query("graph_health", f"""WITH RECURSIVE {_G}, u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), r AS (SELECT DISTINCT a AS node, a AS least FROM u UNION SELECT u.b, r.least FROM r JOIN u ON u.a = r.node), cc AS (SELECT node, min(least) AS component FROM r GROUP BY node),
+d AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY node), cs AS (SELECT component, count(*) AS n FROM cc GROUP BY 1),
+m AS (SELECT (SELECT count(*) FROM d) AS nodes, (SELECT count(*) FROM g) AS edges, (SELECT avg(k) FROM d) AS avg_degree, 2.0 * (SELECT count(*) FROM g) / ((SELECT count(*) FROM d) * ((SELECT count(*) FROM d) - 1)) AS density, (SELECT count(*) FROM cs) AS components, (SELECT max(n) FROM cs) / (SELECT count(*) FROM d)::DOUBLE AS largest_ratio)
+SELECT nodes, edges, round(avg_degree, 6) AS avg_degree, round(density, 6) AS density, components, round(largest_ratio, 6) AS largest_ratio, round({_HEALTHY}, 2) AS score, CASE WHEN {_HEALTHY} >= 80 THEN 'healthy' WHEN {_HEALTHY} >= 50 THEN 'degraded' ELSE 'critical' END AS status FROM m""")
 def graph_health(spark, d):
-    return R.graph_metadata(graph(spark, d)).select("nodes", "edges", F.round("avg_degree", 6).alias("avg_degree"), F.round("density", 6).alias("density"))
+    m = R.health(R.graph_metadata(graph(spark, d)), {"nodes": 10000, "edges": 20000, "largest_ratio": 0.5, "avg_degree": 8})
+    return m.select("nodes", "edges", *[F.round(c, 6).alias(c) for c in ("avg_degree", "density")], "components", F.round("largest_ratio", 6).alias("largest_ratio"), "score", "status")
 
 
 # ---- rules
 
-_CONF = "least(1.0, weight / 40.0)"
+_CONF = "least(1.0, weight / 4.0)"
 
 
 @query("rule_transitive", f"WITH {_G}, c AS (SELECT src, dst, {_CONF} AS conf FROM g WHERE src <> dst) SELECT a.src, b.dst, round(max(a.conf * b.conf), 6) AS confidence FROM c a JOIN c b ON a.dst = b.src WHERE a.src <> b.dst AND a.conf * b.conf >= 0.15 GROUP BY ALL")
 def rule_transitive(spark, d):
-    g = graph(spark, d).select("src", "dst", F.lit("relates").alias("type"), F.least(F.lit(1.0), F.col("weight") / 40.0).alias("confidence"))
+    g = graph(spark, d).select("src", "dst", F.lit("relates").alias("type"), F.least(F.lit(1.0), F.col("weight") / 4.0).alias("confidence"))
     return R.transitive(g).select("src", "dst", F.round("confidence", 6).alias("confidence"))
 
 
 @query("rule_convergence", f"WITH {_G}, c AS (SELECT src, dst, {_CONF} AS conf FROM g WHERE src <> dst) SELECT dst, count(DISTINCT src) AS sources, round(avg(conf), 6) AS confidence FROM c GROUP BY dst HAVING count(DISTINCT src) >= 2")
 def rule_convergence(spark, d):
-    g = graph(spark, d).select("src", "dst", F.lit("supports").alias("type"), F.least(F.lit(1.0), F.col("weight") / 40.0).alias("confidence"))
+    g = graph(spark, d).select("src", "dst", F.lit("supports").alias("type"), F.least(F.lit(1.0), F.col("weight") / 4.0).alias("confidence"))
     return R.convergence(g).select("dst", "sources", F.round("confidence", 6).alias("confidence"))
 
 
@@ -271,17 +372,17 @@ def causal_chains(spark, d):
     return chains.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("chain"))
 
 
-@query("root_causes", f"WITH {_DAG} SELECT n_regionkey::BIGINT AS root, count(*) + count(DISTINCT n_nationkey) AS impact FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1".replace(f"WITH {_DAG} ", ""))
+@query("root_causes", "SELECT root, impact, dense_rank() OVER (ORDER BY impact DESC)::INTEGER AS rank FROM (SELECT n_regionkey::BIGINT AS root, count(*) + count(DISTINCT n_nationkey) AS impact FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)")
 def root_causes(spark, d):
     """Regions as roots, with how many customers and nations lie below them."""
     n = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
     c = table(spark, d, "customer").select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.col("c_custkey") + 1000).alias("dst"))
     used = n.join(c.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    return R.root_causes(used.unionByName(c), 4).select("root", "impact")
+    return R.root_causes(used.unionByName(c), 4)
 
 
 @query("path_confidence", f"WITH {_G}, c AS (SELECT src, dst, {_CONF} AS conf FROM g WHERE src <> dst) SELECT a.src, a.dst AS mid, b.dst, round(a.conf * b.conf, 6) AS multiplicative, round(least(a.conf, b.conf), 6) AS minimum, round(a.conf * 0.9, 6) AS decay, round((a.conf + b.conf) / 2, 6) AS mean FROM c a JOIN c b ON a.dst = b.src")
 def path_confidence(spark, d):
-    g = graph(spark, d).where("src != dst").select("src", "dst", F.least(F.lit(1.0), F.col("weight") / 40.0).alias("c"))
+    g = graph(spark, d).where("src != dst").select("src", "dst", F.least(F.lit(1.0), F.col("weight") / 4.0).alias("c"))
     p = g.alias("a").join(g.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("a.dst").alias("mid"), F.col("b.dst").alias("dst"), F.array("a.c", "b.c").alias("c"))
     return p.select("src", "mid", "dst", *[F.round(R.path_confidence(F.col("c"), m), 6).alias(m) for m in ("multiplicative", "minimum", "decay", "mean")])

@@ -41,7 +41,7 @@ def space_sql(c: str) -> str:
 
 
 def clean_sql(c: str) -> str:
-    return space_sql(emoji_sql(url_sql(html_sql(mojibake_sql(c)))))
+    return space_sql(emoji_sql(url_sql(f"nfc_normalize({html_sql(mojibake_sql(c))})")))
 
 
 def hash_sql(c: str) -> str:
@@ -272,3 +272,16 @@ def date_parsing(spark, d):
 @query("first_numbers", "SELECT p_partkey, try_cast(nullif(regexp_extract(p_name || ' ' || p_size, '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS number, nullif(trim(p_type), '') AS kind FROM part")
 def first_numbers(spark, d):
     return table(spark, d, "part").select("p_partkey", T.first_number(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("number"), T.safe_string(F.col("p_type")).alias("kind"))
+
+
+@query("chosen_texts", "SELECT page_id, trim(concat_ws(' ', nullif(trim(url), ''), nullif(trim(html), ''))) AS chosen_text FROM pages")
+def chosen_texts(spark, d):
+    """Pages have none of the preferred text columns, so all their string columns are joined."""
+    return I.choose_text(table(spark, d, "pages")).select("page_id", F.trim("chosen_text").alias("chosen_text"))
+
+
+@query("ad_hoc_sql", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def ad_hoc_sql(spark, d):
+    from loomline.sources.sinks import ask
+
+    return ask("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {o} JOIN {c} ON o_custkey = c_custkey GROUP BY 1", o=table(spark, d, "orders"), c=table(spark, d, "customer"))

@@ -29,6 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from loomline.plans import extract, graph, intake, trend  # noqa: F401
+    from loomline.plans import extract, graph, intake, knowledge, trend  # noqa: F401
 
 

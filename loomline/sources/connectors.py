@@ -10,8 +10,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -37,12 +37,22 @@ class _PagesReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.json"))]
+        fs, folder = _file_system(self.path)
+        found = fs.get_file_info(pafs.FileSelector(folder))
+        return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".json")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page = Path(partition.value)
-        for i, item in enumerate(json.loads(page.read_text()).get("items", [])):
-            yield (page.name, i, json.dumps(item))
+        fs, _ = _file_system(self.path)
+        with fs.open_input_stream(partition.value) as page:
+            items = json.loads(page.read()).get("items", [])
+        for i, item in enumerate(items):
+            yield (partition.value.rpartition("/")[2], i, json.dumps(item))
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The shared file system that driver and executors see under this path; Spark's names for object stores are known too."""
+    scheme, mark, rest = path.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest)
 
 
 def replay(spark: SparkSession, source: str, path: str) -> DataFrame:
@@ -63,16 +73,31 @@ ADAPTERS = {
     "videos": (("id",), ("snippet.title",), ("snippet.description",), ("snippet.channelTitle",), ("snippet.publishedAt",), ("url",), ("statistics.viewCount",)),
     "app_reviews": (("reviewId",), ("title",), ("content",), ("userName",), ("at",), ("url",), ("score",)),
 }
-
-
-def normalise(source: str, raw: DataFrame) -> DataFrame:
-    """Raw documents: id (hash of source and external id), texts, author, created, url, score; deleted and dead items go."""
-    ext, title, content, author, created, url, score = (_j(*p) for p in ADAPTERS[source])
+#: The same for what is said about an item, where a source has comments.
+COMMENTS = {
+    "issues": (("id",), (), ("body",), ("user.login",), ("created_at",), ("html_url",), ("reactions.total_count",)),
+    "stories": (("id",), (), ("text",), ("by",), ("time",), ("url",), ("score",)),
+    "launches": (("id",), (), ("commentBody", "body"), ("author.name", "author.username"), ("createdAt",), ("url",), ("votesCount",)),
+    "videos": (
+        ("snippet.topLevelComment.id", "id"), (), ("snippet.topLevelComment.snippet.textDisplay", "snippet.topLevelComment.snippet.textOriginal"), ("snippet.topLevelComment.snippet.authorDisplayName",),
+        ("snippet.topLevelComment.snippet.publishedAt",), ("url",), ("snippet.topLevelComment.snippet.likeCount",),
+    ),
+}
+
+
+def normalise(source: str, raw: DataFrame, comments: bool = False) -> DataFrame:
+    """Raw documents: id (hash of source and external id), texts, author, created, url, score; deleted and dead items go.
+
+    Comments have no title and ids of their own space.
+    """
+    paths = (COMMENTS if comments else ADAPTERS)[source]
+    ext, title, content, author, created, url, score = (_j(*p) if p else F.lit(None).cast("string") for p in paths)
     live = raw.where(F.coalesce(_j("deleted"), F.lit("false")) != "true").where(F.coalesce(_j("dead"), F.lit("false")) != "true")
     blank = lambda c: F.coalesce(c, F.lit(""))
+    space = f"{source}_comment" if comments else source
     return live.select(
-        F.sha2(F.concat_ws(":", F.lit(source), ext), 256).alias("id"), ext.alias("external_id"), F.lit(source).alias("source"), blank(title).alias("title"), blank(content).alias("content"),
-        blank(author).alias("author"), blank(created).alias("created_at"), blank(url).alias("url"), score.try_cast("double").alias("score"), F.col("payload").alias("metadata"),
+        F.sha2(F.concat_ws(":", F.lit(space), ext), 256).alias("id"), ext.alias("external_id"), F.lit(source).alias("source"), F.lit("comment" if comments else "post").alias("source_type"), blank(title).alias("title"),
+        blank(content).alias("content"), blank(author).alias("author"), blank(created).alias("created_at"), blank(url).alias("url"), score.try_cast("double").alias("score"), F.col("payload").alias("metadata"),
     )
 
 

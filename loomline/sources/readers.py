@@ -87,7 +87,7 @@ def _forum(df: DataFrame) -> DataFrame:
     return to_unified(df, {"text": "clean_comment", "metadata": F.to_json(F.struct("category")), "platform": F.lit("forum")}, "forum")
 
 
-#: In order of registration; the first whose columns are all there wins.
+#: In order of registration; the first whose columns are all there wins. The column names are fixed values.
 _LOADERS: dict = {}
 
 
@@ -109,21 +109,38 @@ def detect(columns: list[str]) -> Loader:
     raise ValueError(f"no loader knows the columns {sorted(columns)}")
 
 
-def load_directory(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """All files that can be read, as one unified table without rows of no text; and errors by path."""
-    parts, errors = [], {}
+def load_directory(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame | None, dict[str, str]]:
+    """All files of a list, or all .csv files of a folder in order, that can be read, as one unified table without rows of no text; and errors by path.
+
+    Files of the same columns are read together, each family by one scan, so the plan grows with the kinds of files only. A
+    file that can't be read, or that no loader knows, is an error of its own.
+    """
+    if isinstance(paths, str):
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(paths).select("path").collect()  # names alone: the content isn't read
+        paths = [r["path"] for r in listed]
+    families: dict[tuple, list[str]] = {}
+    errors: dict[str, str] = {}
     for path in sorted(paths):
         try:
-            df = read_any(spark, path)
-            parts.append(detect(df.columns).load(df).where(F.trim("text") != ""))
+            columns = columns_of(spark, path)
+            detect(columns)
+            families.setdefault((path.rpartition(".")[2].lower(), tuple(columns)), []).append(path)
         except Exception as e:  # one bad file doesn't stop the others; its error is returned
             errors[path] = str(e).splitlines()[0]
     out = None
-    for part in parts:
+    for (suffix, columns), files in families.items():
+        df = read_any(spark, files[0]) if len(files) == 1 else _read_files(spark, suffix, files)
+        part = detect(list(columns)).load(df).where(F.trim("text") != "")
         out = part if out is None else out.unionByName(part)
     return out, errors
 
 
+def _read_files(spark: SparkSession, suffix: str, files: list[str]) -> DataFrame:
+    if suffix == "csv":
+        return spark.read.csv(files, header=True, inferSchema=True, mode="PERMISSIVE", multiLine=True, escape='"')
+    return spark.read.parquet(*files) if suffix == "parquet" else spark.read.json(files, multiLine=suffix == "json")
+
+
 def latest_per_source(files: DataFrame, source: str = "source", order: str = "day") -> DataFrame:
     """The newest file of each source, from a listing."""
     w = Window.partitionBy(source).orderBy(F.desc(order))

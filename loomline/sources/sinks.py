@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 from datetime import datetime, timezone
@@ -29,15 +30,29 @@ def split_invalid(df: DataFrame, good: str, bad: str) -> None:
     df.where("not valid").write.mode("append").json(bad)
 
 
+def checksum(df: DataFrame) -> tuple[int, str]:
+    """(rows, order-free checksum of all columns)."""
+    row = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("checksum")).first()
+    return row["rows"], str(row["checksum"])
+
+
+def _write_json(spark, value: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read_json(spark, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
 def write_asset(df: DataFrame, folder: str, name: str, run_id: str, upstream: tuple[str, ...] = ()) -> dict:
     """Overwrites an asset and its manifest (run id, rows, order-free checksum, upstream names)."""
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     spark = df.sparkSession
     back = spark.read.schema(df.schema).parquet(path)
-    row = back.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*back.columns).cast("decimal(38,0)")), F.lit(0)).alias("checksum")).first()
-    manifest = {"name": name, "run_id": run_id, "rows": row["rows"], "checksum": str(row["checksum"]), "columns": back.columns, "upstream": list(upstream), "written_at": datetime.now(timezone.utc).isoformat()}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
+    rows, total = checksum(back)
+    manifest = {"name": name, "run_id": run_id, "rows": rows, "checksum": total, "columns": back.columns, "upstream": list(upstream), "written_at": datetime.now(timezone.utc).isoformat()}
+    _write_json(spark, manifest, f"{path}.manifest")
     return manifest
 
 
@@ -45,9 +60,16 @@ class StaleAsset(Exception):
     """An asset of another run, or one that isn't there."""
 
 
+def read_manifest(spark, folder: str, name: str) -> dict:
+    try:
+        return _read_json(spark, f"{folder}/{name}.manifest")
+    except Exception as e:
+        raise StaleAsset(f"{name} is missing") from e
+
+
 def read_asset(spark, folder: str, name: str, run_id: str | None = None) -> DataFrame:
+    manifest = read_manifest(spark, folder, name)
     try:
-        manifest = json.loads(spark.read.text(f"{folder}/{name}.manifest").first()[0])
         df = spark.read.parquet(f"{folder}/{name}")
     except Exception as e:
         raise StaleAsset(f"{name} is missing") from e
@@ -56,6 +78,17 @@ def read_asset(spark, folder: str, name: str, run_id: str | None = None) -> Data
     return df
 
 
+def collect_assets(spark, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """The assets that are there; those that are missing are left out."""
+    found = {}
+    for name in names:
+        try:
+            found[name] = read_asset(spark, folder, name)
+        except StaleAsset:
+            continue
+    return found
+
+
 def append_asset(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("append").parquet(f"{folder}/{name}")
 
@@ -73,6 +106,59 @@ def read_snapshot(spark, folder: str, asset: str, snapshot_id: str) -> DataFrame
     return spark.read.parquet(f"{folder}/{asset}").where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
 
 
+def snapshot_run(spark, assets_folder: str, names: list[str], folder: str, snapshot_id: str) -> DataFrame:
+    """Copies the run's assets into a snapshot and adds it to the index; gives the index rows (snapshot_id, asset, rows, sha256)."""
+    rows = []
+    for name, df in collect_assets(spark, assets_folder, names).items():
+        write_snapshot(df, folder, name, snapshot_id)
+        n, total = checksum(df)
+        rows.append((snapshot_id, name, n, hashlib.sha256(f"{name}:{n}:{total}".encode()).hexdigest(), datetime.now(timezone.utc)))
+    index = spark.createDataFrame(rows, "snapshot_id string, asset string, rows long, sha256 string, made_at timestamp")
+    index.write.mode("append").parquet(f"{folder}/_snapshots")
+    return index
+
+
+def scan_snapshots(spark, folder: str) -> DataFrame:
+    """The index of all snapshots, oldest first."""
+    return spark.read.parquet(f"{folder}/_snapshots").orderBy("made_at", "snapshot_id", "asset")
+
+
+def audit(df: DataFrame, folder: str, table: str, action: str) -> None:
+    """Notes an action on a table and how many rows it touched."""
+    df.sparkSession.createDataFrame([(table, action, df.count(), datetime.now(timezone.utc))], "table string, action string, rows long, at timestamp").write.mode("append").parquet(f"{folder}/_audit")
+
+
+def ask(sql: str, **tables: DataFrame) -> DataFrame:
+    """Runs SQL over named frames, each written as {name} in the text."""
+    return next(iter(tables.values())).sparkSession.sql(sql, **tables)
+
+
+def read_raw(spark, folder: str, source: str, day: str) -> DataFrame:
+    """Raw rows of a source and day (yyyy-mm-dd); none if nothing was stored then."""
+    try:
+        return spark.read.json(folder).where((F.col("source") == source) & (F.col("day").cast("string") == day))
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return spark.createDataFrame([], "source string, day string")
+        raise
+
+
+# Columns of normalised documents, in their order.
+NORMALISED = (
+    "document_id", "source", "source_type", "external_id", "title", "content", "author", "created_at", "updated_at", "language", "url", "tags", "categories", "metadata", "raw_json", "checksum",
+    "collector_version",
+)
+
+
+def write_normalised(df: DataFrame, folder: str) -> None:
+    """Normalised documents with their columns in the fixed order; missing ones are null."""
+    df.select(*[F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in NORMALISED]).write.mode("append").parquet(folder)
+
+
+def write_rejected(rejected: DataFrame, folder: str) -> None:
+    rejected.write.mode("overwrite").parquet(folder)
+
+
 def export_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     for name, df in (("nodes", nodes), ("edges", edges)):
         df.write.mode("overwrite").json(f"{folder}/{name}_json")
@@ -86,9 +172,16 @@ def gexf(nodes: list[tuple[str, str]], edges: list[tuple[str, str, float]]) -> s
     return f'<?xml version="1.0" encoding="UTF-8"?><gexf version="1.3"><graph defaultedgetype="directed"><nodes>{n}</nodes><edges>{e}</edges></graph></gexf>'
 
 
+def _small(df: DataFrame, rows: int, name: str) -> list[tuple]:
+    got = [tuple(r) for r in df.limit(rows + 1).collect()]
+    if len(got) > rows:
+        raise ValueError(f"{name} has over {rows} rows: aggregate it or raise the limit")
+    return got
+
+
 def render(title: str, sections: list[tuple[str, DataFrame]], kind: str, rows: int = 100) -> str:
-    """A report of small aggregates as json, markdown, html or csv; each table shows its first ``rows`` rows."""
-    data = [(name, df.columns, [tuple(r) for r in df.limit(rows).collect()]) for name, df in sections]
+    """A report of small aggregates as json, markdown, html or csv; a table of over ``rows`` rows is refused, not cut."""
+    data = [(name, df.columns, _small(df, rows, name)) for name, df in sections]
     if kind == "json":
         return json.dumps({"title": title, "sections": [{"name": n, "columns": c, "rows": r} for n, c, r in data]}, default=str)
     if kind == "markdown":
@@ -104,11 +197,3 @@ def render(title: str, sections: list[tuple[str, DataFrame]], kind: str, rows: i
         quote = lambda v: '"' + str(v).replace('"', '""') + '"'
         return "\n".join(",".join(map(quote, r)) for n, c, rs in data for r in [["section", *c], *[[n, *x] for x in rs]])
     raise ValueError(f"no renderer for {kind}")
-
-
-def chart(kind: str, df: DataFrame, x: str, y: str, rows: int = 50) -> dict:
-    """A chart specification of a small aggregate: bar, line, pie, timeline, heatmap, treemap, sankey."""
-    if kind not in ("bar", "line", "pie", "timeline", "heatmap", "treemap", "sankey"):
-        raise ValueError(f"no chart of kind {kind}")
-    got = df.select(x, y).orderBy(x).limit(rows).collect()
-    return {"type": kind, "x": x, "y": y, "values": [[r[0], r[1]] for r in got]}
