@@ -7,7 +7,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from loomline.functions import seeds
@@ -70,7 +70,7 @@ RARE = (
 
 
 def clean(c: Column) -> Column:
-    """All cleaners in their fixed order, for texts without RARE characters; ``clean_rows`` takes those too."""
+    """All cleaners in their fixed order, for texts without RARE characters; ``clean_rare`` is for those."""
     return _after_html(strip_html(fix_mojibake(c)))
 
 
@@ -78,17 +78,15 @@ def _after_html(c: Column) -> Column:
     return normalise(clean_space(strip_emoji(mask_urls(c))))
 
 
-def clean_rows(df: DataFrame, text: str = "text", out: str = "clean_text") -> DataFrame:
-    """Adds the cleaned text: mojibake, tags, all entities, NFC, addresses, emoji, white space, case and signs.
+def is_rare(c: Column) -> Column:
+    """Entities or NFC can change something."""
+    return F.coalesce(fix_mojibake(c).rlike(RARE), F.lit(False))
 
-    Texts in which entities or NFC can change something pass an Arrow function after the tags have gone; all
-    others stay within built-ins.
-    """
-    odd = F.coalesce(fix_mojibake(F.col(text)).rlike(RARE), F.lit(False))
-    plain = df.where(~odd).withColumn(out, clean(F.col(text)))
-    bare = F.regexp_replace(fix_mojibake(F.col(text)), r"<[^>]+>", " ")
-    rare = F.trim(F.regexp_replace(unescape_and_nfc(bare), r"[\s\x{00A0}]+", " "))
-    return plain.unionByName(df.where(odd).withColumn(out, _after_html(rare)))
+
+def clean_rare(c: Column) -> Column:
+    """All cleaners with every entity and NFC, by an Arrow function after the tags have gone."""
+    bare = F.regexp_replace(fix_mojibake(c), r"<[^>]+>", " ")
+    return _after_html(F.trim(F.regexp_replace(unescape_and_nfc(bare), r"[\s\x{00A0}]+", " ")))
 
 
 def content_hash(c: Column) -> Column:

@@ -9,14 +9,25 @@ from loomline.operators.joins import join_hot
 from loomline.session import materialise
 
 
+def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds clean_text and content_hash, written once; the few texts that need a Python function pass it apart from the others."""
+    hashed = lambda df: df.withColumn("content_hash", T.content_hash(F.col("clean_text")))
+    rare = T.is_rare(F.col(text))
+    rows = materialise(hashed(docs.withColumn("clean_text", F.when(~rare, T.clean(F.col(text))))).withColumn("_rare", rare), "intake-clean")
+    odd = rows.where("_rare").drop("_rare")
+    plain = rows.where("not _rare").drop("_rare")
+    if odd.isEmpty():
+        return plain
+    return plain.unionByName(materialise(hashed(odd.withColumn("clean_text", T.clean_rare(F.col(text)))), "intake-rare"))
+
+
 def intake(docs: DataFrame, min_chars: int = 10, max_chars: int = 100_000, languages: tuple[str, ...] = (), id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """Adds clean_text, content_hash, is_duplicate and reason (null if the row stays); the first reason wins.
 
     First seen is the least id of a content hash. Texts are cleaned and hashed once, and written. Copied hashes and
     their least ids come from a partial aggregate; hashes with very many copies are then joined by broadcast (join_hot).
     """
-    rows = T.clean_rows(docs).withColumn("content_hash", T.content_hash(F.col("clean_text")))
-    rows = materialise(rows, "intake-clean")
+    rows = clean(docs)
     copied = rows.groupBy("content_hash").agg(F.min(id_col).alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
     rows = join_hot(rows, materialise(copied, "intake-copies"), "content_hash", "_copies")
     rows = rows.withColumn("is_duplicate", F.coalesce(F.col(id_col) > F.col("_first"), F.lit(False))).drop("_first")

@@ -287,10 +287,10 @@ def simple_paths(spark, d):
     return G.simple_paths(graph(spark, d).where("src != dst"), 1, 77, 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("common_neighbours", f"WITH {_G}, u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g) SELECT b AS node FROM u WHERE a = 7 INTERSECT SELECT b FROM u WHERE a = 52")
+@query("common_neighbours", f"WITH {_G}, u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g) SELECT b AS node FROM u WHERE a = 7 INTERSECT SELECT b FROM u WHERE a = 8")
 def common_neighbours(spark, d):
     u = G.undirected(graph(spark, d))
-    return u.where("src = 7").select(F.col("dst").alias("node")).intersect(u.where("src = 52").select("dst"))
+    return u.where("src = 7").select(F.col("dst").alias("node")).intersect(u.where("src = 8").select("dst"))
 
 
 _DAG = "g AS (SELECT c_custkey + 1000 AS src, c_nationkey + 100 AS dst FROM customer UNION SELECT n_nationkey + 100, n_regionkey FROM nation)"

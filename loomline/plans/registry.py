@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.session import spread
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "document_intake"
@@ -23,8 +25,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name in TEXTS else read
 
 
 def load_all() -> None:

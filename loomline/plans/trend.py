@@ -110,10 +110,10 @@ for _name, _sql in {"composite": "opportunity_score", "severity": "f1", "market"
 
 @query("opportunity_dedup")
 def opportunity_dedup(spark, d):
-    """Customers by what they spend, less those who bought nearly the same set of priorities and months as a better one; the best 100."""
-    e = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.concat_ws(":", "o_orderpriority", F.month("o_orderdate")).alias("e"), "o_totalprice")
-    rows = e.groupBy("key").agg(F.collect_set("e").alias("evidence"), F.sum("o_totalprice").alias("opportunity_score"))  # at most 60 marks a customer
-    return O.rank(O.suppress_duplicates(rows, "opportunity_score", overlap=0.5), "composite", 100).select("rank", "key", "status", F.size("evidence").alias("n"))
+    """Customers by what they spend, less those whose orders have nearly the same set of priorities and states as those of a better one; the best 100."""
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("e"), "o_totalprice")
+    rows = e.groupBy("key").agg(F.collect_set("e").alias("evidence"), F.sum("o_totalprice").alias("opportunity_score"))  # at most 8 marks a customer
+    return O.rank(O.suppress_duplicates(rows, "opportunity_score"), "composite", 100).select("rank", "key", "status", F.size("evidence").alias("n"))
 
 
 def _models_sql(text: str) -> str:

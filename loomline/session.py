@@ -44,6 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out to all cores where it has fewer splits than the session has cores.
+
+    For work that costs far more than a shuffle of so few splits; a table of many files or row groups stays as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
 
