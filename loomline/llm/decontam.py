@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomline.llm.common import map_arrow, text_bytes
-from loomline.session import materialise
+from loomline.session import materialise, spread
 
 WINDOW = 13
 #: A worker's memory for one block's tables, and what a benchmark word takes of it at most (measured: 60 to 260).
@@ -242,7 +242,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    found = contamination(read("documents").select("doc_id", "text"), read("benchmark"))
+    found = contamination(spread(read("documents").select("doc_id", "text")), read("benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomline.llm.common import WordHashes, free_name, map_arrow, mix64, shingle_set, text_bytes
 from loomline.operators.components import connected_components
 from loomline.operators.joins import join_hot
-from loomline.session import materialise
+from loomline.session import materialise, spread
 
 BANDS, ROWS = 24, 4
 #: At 0.85 a pair shares no band with probability (1 - 0.85**4)**24 < 3e-8.
@@ -241,7 +241,7 @@ def keep_first_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomline.llm.common import map_arrow
 from loomline.llm.tokens import Encoder, default_path, encoder
+from loomline.session import spread
 
 CAPACITY = 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -123,4 +124,4 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: in
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

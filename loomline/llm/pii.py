@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomline.llm.common import map_arrow, text_bytes
+from loomline.session import spread
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("ssn", "iban", "name")
@@ -310,5 +311,5 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return find(docs, fit(docs))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomline.llm.common import map_arrow, text_bytes
-from loomline.session import materialise
+from loomline.session import materialise, spread
 
 KINDS = ("assign", "access", "hex")
 ADDED_KIND = "random"
@@ -304,5 +304,5 @@ def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return find(docs, fit(docs))

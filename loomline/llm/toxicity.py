@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomline.llm.common import map_arrow, text_bytes
-from loomline.session import materialise
+from loomline.session import materialise, spread
 
 SAMPLE_ROWS = 30_000
 LEXICON_SIZE = 5000
@@ -348,5 +348,5 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    docs = read("documents").select("doc_id", "text")
+    docs = spread(read("documents").select("doc_id", "text"))
     return score(docs, fit(docs, read("labels").select("doc_id", "toxic")))
