@@ -111,8 +111,8 @@ def test_top_k_counts_self_and_breaks_ties(spark):
 def test_rules_and_dedup(spark):
     e = spark.createDataFrame([(1, 2, "t", 0.5), (2, 3, "t", 0.5), (2, 1, "t", 1.0)], "src long, dst long, type string, confidence double")
     assert [(r["src"], r["dst"], r["confidence"]) for r in R.transitive(e).collect()] == [(1, 3, 0.25)]
-    ranked = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", ["x", "y"]), (3, "c", ["z"])], "rank int, key string, evidence array<string>")
-    assert sorted(r["key"] for r in O.suppress_duplicates(ranked).collect()) == ["a", "c"]
+    ranked = spark.createDataFrame([(0.9, "a", ["x", "y"]), (0.8, "b", ["x", "y"]), (0.7, "c", ["z"])], "score double, key string, evidence array<string>")
+    assert sorted(r["key"] for r in O.suppress_duplicates(ranked, "score").collect()) == ["a", "c"]
 
 
 def test_stream_dedup_equals_batch(spark, tmp_path):
