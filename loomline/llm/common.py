@@ -6,6 +6,8 @@ bytes.lower() lower-cases exactly A-Z.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -18,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOME = str(Path(__file__).resolve().parents[2])
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 BATCH_ROWS = 2000
 
 
@@ -31,7 +33,19 @@ def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """An ended task's memory goes back to the system, so an idle worker holds none that other stages need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
