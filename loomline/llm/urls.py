@@ -60,14 +60,18 @@ def symbols(url: Column) -> Column:
 
 
 def _grams(rows: DataFrame, order: int, keep: list[str]) -> DataFrame:
-    """A row for each gram of ``_s``."""
+    """A row for each gram of ``_s``. Symbols are taken from an array, so a long URL costs in proportion to its length."""
 
-    def of_size(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length("_s") - k + 1, F.lit(1)))
-        found = F.transform(places, lambda i: F.substring(F.col("_s"), i, F.lit(k)))
-        return F.when(F.length("_s") >= k, found).otherwise(F.array().cast("array<string>"))
+    def of(w: Column) -> Column:
+        def of_size(k: int) -> Column:
+            places = F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))
+            found = F.transform(places, lambda i: F.concat(*[F.get(w, i + j) for j in range(k)]))
+            return F.when(F.size(w) >= k, found).otherwise(F.array().cast("array<string>"))
 
-    return rows.select(*keep, F.explode(F.flatten(F.array(*[of_size(k) for k in range(1, order + 1)]))).alias("gram"))
+        return F.flatten(F.array(*[of_size(k) for k in range(1, order + 1)]))
+
+    symbols_ = F.filter(F.split("_s", ""), lambda x: x != "")
+    return rows.select(*keep, F.explode(F.flatten(F.transform(F.array(symbols_), of))).alias("gram"))
 
 
 def train(judged: DataFrame, order: int = ORDER, least: int = LEAST, weight: float = 4.0) -> DataFrame:
