@@ -42,7 +42,7 @@ def evidence(obs: DataFrame, least: int = 3) -> DataFrame:
     ).where(F.col("observation_count") >= least)
     conf = evidence_confidence(F.col("document_count"), F.col("platforms") + F.col("countries"), F.col("rating_std"), F.col("avg_confidence"), F.col("observation_count"))
     eid = F.substring(F.sha2(F.concat_ws(":", F.lit("ev"), "signal_key", F.coalesce("entity", F.lit(""))), 256), 1, 16)
-    return g.withColumn("confidence", F.round(conf, 4)).withColumn("evidence_id", eid)
+    return g.withColumn("confidence", F.round(F.round(conf, 9), 4)).withColumn("evidence_id", eid)  # the order of a sum decides no half
 
 
 def evidence_members(obs: DataFrame, ids: int = 100, snippets: int = 5, salts: int = 64) -> DataFrame:
@@ -100,7 +100,7 @@ def signals(ev: DataFrame, least_docs: int, min_confidence: float = 0.0) -> Data
     )
     rating = F.when(F.col("mean_rating").isNull(), 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("mean_rating") / 5.0))
     conf = F.col("evidence_confidence") * 0.35 + F.least(F.lit(1.0), F.col("evidence_count") / 5.0) * 0.20 + F.least(F.lit(1.0), F.col("document_count") / 500.0) * 0.25 + rating * 0.20
-    return g.withColumn("confidence", F.round(F.least(F.lit(1.0), conf), 4)).where(F.col("confidence") >= min_confidence)
+    return g.withColumn("confidence", F.round(F.round(F.least(F.lit(1.0), conf), 9), 4)).where(F.col("confidence") >= min_confidence)
 
 
 def unresolved(obs: DataFrame, least: int = 2) -> DataFrame:

@@ -17,7 +17,8 @@ def entities(docs: DataFrame, dictionary=seeds.ENTITIES, bounded: bool = False)
     known = F.array(*[F.struct(F.lit(n).alias("entity"), F.lit(k).alias("entity_type"), F.lit(t).alias("term"), F.lit(x).alias("exact")) for n, k, t, x in terms])
     hit = lambda low, t: T.word_bounded(low, t["term"]) if bounded else F.contains(low, t["term"])
     found = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.filter(known, lambda t: hit(low, t))))
-    rows = docs.select(*docs.columns, F.explode(found).alias("_e")).select(*docs.columns, "_e.*")
+    # An outer explode: no filter on the array's size is inferred, which would be evaluated apart, before the rows are dealt out.
+    rows = docs.select(*docs.columns, F.explode_outer(found).alias("_e")).where("_e is not null").select(*docs.columns, "_e.*")
     return rows.withColumn("confidence", F.when(F.col("exact"), 0.95).otherwise(0.95 * 0.7))
 
 
@@ -35,7 +36,7 @@ def patterns(docs: DataFrame, table=seeds.PATTERNS) -> DataFrame:
         phrase = F.coalesce(*[F.when(low.rlike(T.phrase_regex(p)), F.regexp_extract(low, T.phrase_regex(p), 0)) for p in phrases])
         return F.when(phrase.isNotNull(), F.struct(F.lit(label).alias("label"), phrase.alias("phrase"), F.lit(confidence * 0.85).alias("confidence")))
 
-    rows = docs.select(*docs.columns, F.explode(F.array_compact(F.array(*[first(*p) for p in table]))).alias("_p"))
+    rows = docs.select(*docs.columns, F.explode_outer(F.array_compact(F.array(*[first(*p) for p in table]))).alias("_p")).where("_p is not null")
     return rows.select(*docs.columns, "_p.*")
 
 

@@ -170,7 +170,7 @@ _EVIDENCE = f"""{OBSERVATIONS_SQL},
 k AS (SELECT *, regexp_replace(lower(coalesce(category, '') || ':' || substr(coalesce(canonical_value, value), 1, 60) || ':' || coalesce(entity, '')), '^:+|:+$', '', 'g') AS signal_key FROM o),
 g AS (SELECT signal_key, min(category) AS category, min(entity) AS entity, count(*) AS observation_count, count(DISTINCT doc_id) AS document_count, avg(rating) AS avg_rating, coalesce(stddev_samp(rating), 0) AS rating_std,
   avg(confidence) AS avg_confidence, count(DISTINCT source) + count(DISTINCT lang) AS diversity, min(coalesce(canonical_value, substr(value, 1, 60))) AS signal_text FROM k GROUP BY signal_key HAVING count(*) >= 3),
-e AS (SELECT *, round(least(1.0, 0.7 * 0.25 + least(1.0, document_count / 100.0) * 0.20 + least(1.0, diversity / 8.0) * 0.15 + (1 - least(1.0, rating_std / 2.5)) * 0.10 + least(1.0, avg_confidence) * 0.15 + least(1.0, observation_count / 500.0) * 0.15), 4) AS confidence,
+e AS (SELECT *, round(CAST(least(1.0, 0.7 * 0.25 + least(1.0, document_count / 100.0) * 0.20 + least(1.0, diversity / 8.0) * 0.15 + (1 - least(1.0, rating_std / 2.5)) * 0.10 + least(1.0, avg_confidence) * 0.15 + least(1.0, observation_count / 500.0) * 0.15) AS DECIMAL(18, 9)), 4)::DOUBLE AS confidence,
   substr(sha256('ev:' || signal_key || ':' || coalesce(entity, '')), 1, 16) AS evidence_id FROM g)"""
 
 
@@ -204,7 +204,7 @@ def evidence_exclusions(spark, d):
 
 SIGNALS_SQL = f"""{_EVIDENCE}, s AS (SELECT category, signal_text, count(*) AS evidence_count, sum(document_count)::BIGINT AS document_count, sum(observation_count)::BIGINT AS observation_count, list_sort(list(DISTINCT evidence_id)) AS evidence_ids,
  sum(avg_rating * observation_count) / sum(CASE WHEN avg_rating IS NOT NULL THEN observation_count END) AS avg_rating, avg(avg_rating) AS mean_rating, avg(confidence) AS ec FROM e WHERE {_REASON} IS NULL GROUP BY category, signal_text),
-sg AS (SELECT *, round(least(1.0, ec * 0.35 + least(1.0, evidence_count / 5.0) * 0.20 + least(1.0, document_count / 500.0) * 0.25 + CASE WHEN mean_rating IS NULL THEN 1.0 ELSE 1 - least(1.0, mean_rating / 5.0) END * 0.20), 4) AS confidence FROM s)"""
+sg AS (SELECT *, round(CAST(least(1.0, ec * 0.35 + least(1.0, evidence_count / 5.0) * 0.20 + least(1.0, document_count / 500.0) * 0.25 + CASE WHEN mean_rating IS NULL THEN 1.0 ELSE 1 - least(1.0, mean_rating / 5.0) END * 0.20) AS DECIMAL(18, 9)), 4)::DOUBLE AS confidence FROM s)"""
 
 
 @query("problem_signals", f"WITH {SIGNALS_SQL} SELECT category, signal_text, evidence_count, document_count, observation_count, round(avg_rating, 6) AS avg_rating, confidence FROM sg")
