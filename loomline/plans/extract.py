@@ -113,19 +113,18 @@ def _ends(suffixes) -> str:
 
 
 _POS = f"CASE WHEN {_ends(seeds.VERB_SUFFIXES)} THEN 'verb' WHEN {_ends(seeds.NOUN_SUFFIXES)} OR (word LIKE '%s' AND length(word) > 3) THEN 'noun' WHEN {_ends(seeds.ADJECTIVE_SUFFIXES)} THEN 'adj' ELSE 'other' END"
-_ASCII = "(SELECT * FROM documents WHERE lang = 'en')"
 
 for _tag in ("verb", "noun"):
 
     def _pos(spark, d, tag=_tag):
-        return X.pos_counts(table(spark, d, "documents").where("lang = 'en'"), tag)
+        return X.pos_counts(table(spark, d, "documents"), tag)
 
-    query(f"suffix_{_tag}s", f"SELECT word, count(*) AS n FROM (SELECT unnest({_ALPHA}) AS word FROM {_ASCII}) WHERE {_POS} = '{_tag}' GROUP BY word ORDER BY n DESC, word LIMIT 100")(_pos)
+    query(f"suffix_{_tag}s", f"SELECT word, count(*) AS n FROM (SELECT unnest({_ALPHA}) AS word FROM documents) WHERE {_POS} = '{_tag}' GROUP BY word ORDER BY n DESC, word LIMIT 100")(_pos)
 
 
-@query("adjective_noun_pairs", f"SELECT a || ' ' || b AS pair, count(*) AS n FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT {_ALPHA} AS w FROM {_ASCII}))) WHERE ({_POS.replace('word', 'a')}) = 'adj' AND ({_POS.replace('word', 'b')}) = 'noun' GROUP BY 1 ORDER BY n DESC, pair LIMIT 100")
+@query("adjective_noun_pairs", f"SELECT a || ' ' || b AS pair, count(*) AS n FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT {_ALPHA} AS w FROM documents))) WHERE ({_POS.replace('word', 'a')}) = 'adj' AND ({_POS.replace('word', 'b')}) = 'noun' GROUP BY 1 ORDER BY n DESC, pair LIMIT 100")
 def adjective_noun_pairs(spark, d):
-    return X.adjective_noun(table(spark, d, "documents").where("lang = 'en'"))
+    return X.adjective_noun(table(spark, d, "documents"))
 
 
 def observations(spark, d):
