@@ -79,8 +79,8 @@ def relationship_health(edges: DataFrame, components: DataFrame, nodes: int) ->
 
 def cluster_health(metrics: DataFrame) -> DataFrame:
     """``metrics`` has a row a cluster: size and quality."""
-    low = F.count_if(F.col("quality") < LIMITS["cluster_quality"])
-    m = metrics.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("members"), (low / F.count("*")).alias("low_rate"), (F.count_if(F.col("size") == 1) / F.count("*")).alias("singleton_rate"), F.avg("quality").alias("mean_quality"))
+    low, some = F.count_if(F.col("quality") < LIMITS["cluster_quality"]), F.greatest(F.count("*"), F.lit(1))
+    m = metrics.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("members"), (low / some).alias("low_rate"), (F.count_if(F.col("size") == 1) / some).alias("singleton_rate"), F.avg("quality").alias("mean_quality"))
     return penalised(m, F.col("n") == 0, [
         (F.col("low_rate") > LIMITS["low_quality_clusters"], capped(F.col("low_rate"), 100, 30.0)), (F.col("singleton_rate") > LIMITS["singletons"], capped(F.col("singleton_rate"), 50, 20.0)),
         (F.col("members") == 0, 20.0), (F.col("mean_quality") < LIMITS["cluster_quality"], 15.0),
